@@ -64,24 +64,30 @@ def parallelism(spark: SparkSession) -> int:
 
 
 def bitmap_of(keys: DataFrame, column: str, log2_bits: int = 23) -> np.ndarray:
-    """A bit per hash slot of the BIGINT ``column``, as 2**log2_bits / 64 words.
+    """A bit per slot (low bits) of the already uniform BIGINT ``column``: 2**log2_bits / 64 words.
 
     Its size is fixed (1 MB by default) whatever the number of keys, so it can go to every task. A
     set bit means "perhaps present": callers follow it with an exact join.
     """
-    slot = F.pmod(F.xxhash64(F.col(column)), F.lit(1 << log2_bits))
+    slot = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
     rows = (
         keys.select(slot.alias("s"))
         .groupBy(F.shiftright("s", 6).cast("int").alias("word"))
-        .agg(F.bit_or(F.expr("shiftleft(1L, cast(s & 63 as int))")).alias("mask"))
+        .agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("mask"))
         .collect()  # at most 2**log2_bits / 64 rows
     )
     words = np.zeros((1 << log2_bits) // 64, dtype=np.uint64)
     for row in rows:
-        words[row["word"]] = np.uint64(row["mask"] & 0xFFFFFFFFFFFFFFFF)
+        words[row["word"]] = row["mask"] & 0xFFFFFFFFFFFFFFFF
     return words
 
 
+def in_bitmap(words: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Which of the keys have their bit set."""
+    slot = keys.astype(np.uint64) & np.uint64(len(words) * 64 - 1)
+    return (words[slot >> np.uint64(6)] >> (slot & np.uint64(63))) & np.uint64(1) > 0
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """A 64-bit finaliser: spreads every input bit over the word."""
     x = x.astype(np.uint64, copy=True)

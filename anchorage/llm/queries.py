@@ -7,7 +7,11 @@ from importlib import import_module
 #: Query name -> module of its function of the same name.
 MODULES = {
     "op1_token_files": "token_files",
+    "op2_toxicity": "toxicity",
     "op3_packing": "packing",
+    "op4_media": "media",
+    "op5_chat": "chat",
+    "op6_langid": "langid",
 }
 
 

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 SETTINGS = {
     "spark.sql.execution.arrow.maxRecordsPerBatch": "2000",
     "spark.sql.execution.arrow.maxBytesPerBatch": str(16 << 20),
+    "spark.sql.maxPlanStringLength": "65536",
     "spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true",
 }
 _SHIPPED: set[str] = set()

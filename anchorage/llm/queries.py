@@ -12,6 +12,8 @@ MODULES = {
     "op4_media": "media",
     "op5_chat": "chat",
     "op6_langid": "langid",
+    "op7_imatch": "imatch",
+    "op10_licenses": "licenses",
 }
 
 

@@ -148,7 +148,8 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
 
         table = rows.select("text", "toxic").mapInArrow(run, "total double, share double, toxic int").toArrow()  # at most `sample` rows of numbers
         x = np.c_[np.log1p(table.column("total").to_numpy()), np.log1p(table.column("share").to_numpy())]
-        weights = _logistic(x, table.column("toxic").to_numpy().astype(float))
+        if min(nt, nc) >= 5:
+            weights = _logistic(x, table.column("toxic").to_numpy().astype(float))
     return {"entries": entries, "weights": weights}
 
 

@@ -13,6 +13,7 @@ MODULES = {
     "op5_chat": "chat",
     "op6_langid": "langid",
     "op7_imatch": "imatch",
+    "op8_jaccard": "jaccard",
     "op10_licenses": "licenses",
 }
 

@@ -1,11 +1,51 @@
-"""The corpus pipeline: language ID, toxicity, near duplicates, packing."""
+"""The corpus pipeline: language ID, toxicity, near duplicates, packing.
+
+Each stage takes (spark, docs, sf_dir) and works on all rows the stage before kept. The filtering
+stages return the rows they keep with all columns of docs; the last returns the packed pieces.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from anchorage.llm import jaccard, langid, packing, toxicity
+from anchorage.llm.common import materialize, prepare
+
+
+def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose language is told: texts without a letter, or unlike all languages learned, go."""
+    return langid.predict(docs, langid.fit(langid.training(docs)), keep="text")
+
+
+def clean(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows that score below the toxicity threshold."""
+    labels = toxicity.training(spark.read.parquet(f"{sf_dir}/labels.parquet"))
+    return toxicity.keep_clean(docs, toxicity.fit(docs, labels))
+
+
+def distinct(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of equal or near-equal documents: the one of the least doc_id."""
+    return jaccard.keep_one(docs)
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The documents that are left, packed into sequences: a row for each piece."""
+    import public_tokenizers
+
+    packed = packing.pack(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return packed.withColumn("ids_crc32", F.crc32("ids")).select("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")
+
+
+STAGES = [("language", language), ("toxicity", clean), ("near_duplicates", distinct), ("packing", pack)]
+#: Models and packing can't be said in SQL; tests/llm/test_pipeline.py checks the stages against plain versions.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Apply STAGES to documents, each stage's result written as Parquet and read again."""
-    raise NotImplementedError
+    prepare(spark)
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    for name, stage in STAGES[:-1]:
+        docs = materialize(stage(spark, docs, sf_dir), f"stage-{name}")
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -150,14 +150,14 @@ def segments_in_order(excerpt: Column, text: Column) -> Column:
     """Every stretch between ellipses (of at least three letters or digits) stands in the text, in order."""
     parts = F.filter(F.transform(F.split(canon(excerpt), r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(F.regexp_replace(p, "[^a-z0-9]", "")) >= 3)
     plain = canon(text)
-    end = F.aggregate(parts, F.lit(1), lambda at, p: F.when(at == 0, F.lit(0)).otherwise(F.when(F.locate(p, plain, 1) == 0, F.lit(0)).otherwise(_after(p, plain, at))))
+    end = F.aggregate(parts, F.lit(1), lambda at, p: F.when(at == 0, F.lit(0)).otherwise(_after(p, plain, at)))
     return (F.size(parts) > 0) & (end > 0)
 
 
 def _after(part: Column, text: Column, at: Column) -> Column:
     """Where the first sighting of the part from ``at`` on ends, 0 if there is none."""
-    here = F.locate(part, F.substring(text, at, F.length(text)))
-    return F.when(here == 0, F.lit(0)).otherwise(at + here - 1 + F.length(part))
+    here = F.position(part, text, at)
+    return F.when(here == 0, F.lit(0)).otherwise(here + F.length(part))
 
 
 def near(a: Column, b: Column, most: int = 1) -> Column:

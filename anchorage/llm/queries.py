@@ -14,6 +14,7 @@ MODULES = {
     "op6_langid": "langid",
     "op7_imatch": "imatch",
     "op8_jaccard": "jaccard",
+    "op9_pieces": "pieces",
     "op10_licenses": "licenses",
 }
 

@@ -11,8 +11,8 @@ many, under single frequent tokens; sizes near that limit under both).
 
 What is asked for is components, and so within a component no further link is needed:
 
-1. Star rounds: classes under a key are paired with a centre of that key (one of eight orders, so
-   that a class meets few centres), the likeliest pairs are verified, components are formed.
+1. Stars: classes under a key are paired with centres of that key (by a few orders, so that a
+   class meets few centres), the likeliest pairs are verified, components are formed.
 2. Completion: for every key that still holds several components, all pairs across components are
    verified, from the side that is not in the key's largest component. Nothing is capped.
 
@@ -30,6 +30,8 @@ separate documents; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+from functools import reduce
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
@@ -121,41 +123,46 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order].astype(np.int64)
 
 
-_SETS = "doc_id long, text_hash long, n long, hi long, lo long, sketch array<long>, keys array<long>"
+_SETS = "kind string, doc_id long, text_hash long, n long, node long, other long, sketch array<long>, keys array<long>"
 
 
-def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, combine: int) -> DataFrame:
+def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, combine: int, seed: int) -> DataFrame:
+    """Rows of kind 'doc' for each document, and of kind 'class' for each distinct set, once a task at least."""
     box = rows.sparkSession.sparkContext.broadcast((frequent, counts))
-    schema = pa.schema([("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("hi", pa.int64()), ("lo", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
+    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
-            out = []
+            out, seen = [], set()
             for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = tokens_of(text)
-                if len(tokens):
-                    hi, lo = _names(tokens)
-                    out.append((doc_id, text_hash, len(tokens), hi, lo, sketch_of(tokens), index_keys(tokens, *box.value, combine).view(np.int64)))
-                else:
-                    out.append((doc_id, text_hash, 0, None, None, None, None))
+                if not len(tokens):
+                    out.append(("doc", doc_id, text_hash, 0, None, None, None, None))
+                    continue
+                node, other = _names(tokens, seed)
+                out.append(("doc", doc_id, text_hash, len(tokens), node, other, None, None))
+                if node not in seen:
+                    seen.add(node)
+                    out.append(("class", None, None, len(tokens), node, None, sketch_of(tokens), index_keys(tokens, *box.value, combine).view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
 
-    return rows.select("doc_id", "text_hash", "text").mapInArrow(run, _SETS)
+    found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, _SETS)
+    return materialize(found, "sets", partition_by="kind")
 
 
-def _names(tokens: np.ndarray) -> tuple[int, int]:
-    """The set's 128-bit name as two signed words."""
+def _names(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
+    """The set's 128-bit name as two signed words; the first is its node."""
     import xxhash
 
-    raw = xxhash.xxh3_128_digest(tokens.tobytes())
+    raw = xxhash.xxh3_128_digest(tokens.tobytes(), seed)
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _involved(rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataFrame:
-    """node, tokens of the classes that share a key with another."""
-    wanted = classes.select("node", "hi", "lo").join(postings.select("node").distinct(), "node", "left_semi")
-    words = bitmap_of(wanted.select("hi"), "hi", 24)
+def _tokens(rows: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+    """node, tokens of the classes in the pairs, from their texts: a bitmap of the nodes sieves, a join decides."""
+    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
+    words = bitmap_of(wanted, "node", 24)
 
     def run(batches):
         for batch in batches:
@@ -163,16 +170,15 @@ def _involved(rows: DataFrame, classes: DataFrame, postings: DataFrame) -> DataF
             for text in batch.column(0).to_pylist():
                 tokens = tokens_of(text)
                 if len(tokens):
-                    name = _names(tokens)
-                    if name not in seen and in_bitmap(words, np.array(name[:1], np.int64))[0]:
-                        seen.add(name)
-                        out.append((*name, tokens.view(np.int64)))
+                    node = _names(tokens, seed)[0]
+                    if node not in seen and in_bitmap(words, np.array([node], np.int64))[0]:
+                        seen.add(node)
+                        out.append((node, tokens.view(np.int64)))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.list_(pa.int64()))], names=["hi", "lo", "tokens"])
+                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    found = rows.select("text").mapInArrow(run, "hi long, lo long, tokens array<long>")
-    found = found.join(wanted, ["hi", "lo"]).groupBy("node").agg(F.first("tokens").alias("tokens"))
-    return materialize(found, "tokens")
+    found = rows.select("text").mapInArrow(run, "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    return materialize(found.join(wanted, "node", "left_semi"), "tokens")
 
 
 def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
@@ -239,35 +245,42 @@ def _all_pairs(postings: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
 
-def link(docs: DataFrame, combine: int = COMBINE, rounds: int = 2) -> DataFrame:
+def link(docs: DataFrame, combine: int = COMBINE, turns: int = 3) -> DataFrame:
     """doc_id, text_hash (of the text), n_shingles, component_id, group (component's number; null without tokens)."""
     prepare(docs.sparkSession)
     text = F.col("text").cast("string")
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text.alias("text"), F.xxhash64(text).alias("text_hash"))
-    sets = materialize(_sets(rows, *_frequent(rows), combine), "sets")
-    classes = sets.filter("n > 0").groupBy("hi", "lo").agg(F.min("doc_id").alias("least"), F.first("n").alias("n"), F.first("sketch").alias("sketch"), F.first("keys").alias("keys"))
-    classes = materialize(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
-    postings = classes.select("node", "n", F.explode("keys").alias("key"))
+    frequent, counts = _frequent(rows)
+    seed = 0
+    while True:
+        sets = _sets(rows, frequent, counts, combine, seed)
+        named = sets.filter("kind = 'doc' and n > 0").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"), F.min("doc_id").alias("least"))
+        if named.filter("x <> y").isEmpty():
+            break
+        seed += 1  # two sets share a node: name them anew
+    found = sets.filter("kind = 'class'")
+    classes = materialize(found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
+    postings = found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.explode("keys").alias("key"))
     postings = postings.withColumn("together", F.count("*").over(Window.partitionBy("key"))).filter("together > 1").drop("together")
     postings = materialize(postings, "postings")
-    tokens = _involved(rows, classes, postings)
-
-    edges, labels = None, None
-    for turn in range(rounds):
-        pairs = _likely(_star_pairs(_with_component(postings, labels), turn), classes)
-        best = Window.partitionBy("b").orderBy("apart", "a")
-        pairs = pairs.withColumn("place", F.row_number().over(best)).filter("place <= 3").drop("place", "apart")
-        found = materialize(_verified(pairs, tokens), "links")
-        edges = found if edges is None else edges.unionByName(found)
-        labels = components(edges)
-    rest = materialize(_verified(_likely(_all_pairs(_with_component(postings, labels)), classes).drop("apart"), tokens), "links")
+
+    alone = postings.withColumn("component", F.col("node"))
+    stars = reduce(DataFrame.union, [_star_pairs(alone, turn) for turn in range(turns)]).distinct()
+    best = Window.partitionBy("b").orderBy("apart", "a")
+    likely = _likely(stars, classes).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 3 * turns)
+    likely = materialize(likely.select("a", "b"), "pairs")
+    edges = materialize(_verified(likely, _tokens(rows, likely, seed)), "links")
+    labels = components(edges)
+    rest = materialize(_likely(_all_pairs(_with_component(postings, labels)), classes).select("a", "b"), "pairs")
     if not rest.isEmpty():
-        labels = components(edges.unionByName(rest))
+        rest = materialize(_verified(rest, _tokens(rows, rest, seed)), "links")
+        if not rest.isEmpty():
+            labels = components(edges.unionByName(rest))
 
-    numbered = classes.select("hi", "lo", "node", "least").join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    numbered = named.select("node", "least").join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     names = numbered.groupBy("group").agg(F.min("least").alias("component_id"))
-    named = numbered.join(names, "group").select("hi", "lo", "group", "component_id")
-    out = sets.select("doc_id", "text_hash", "n", "hi", "lo").join(named, ["hi", "lo"], "left")
+    numbered = materialize(numbered.join(names, "group").select("node", "group", "component_id"), "named")
+    out = sets.filter("kind = 'doc'").select("doc_id", "text_hash", "n", "node").join(numbered, "node", "left")
     return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 

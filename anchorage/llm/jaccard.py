@@ -16,8 +16,9 @@ What is asked for is components, and so within a component no further link is ne
 2. Completion: for every key that still holds several components, all pairs across components are
    verified, from the side that is not in the key's largest component. Nothing is capped.
 
-Before that, pairs pass an exact filter: 1024-bit parity sketches differ in no more bits than the
-sets differ in tokens, and at 0.8 sets differ in at most a ninth of their total size.
+Before that, pairs pass an exact filter: parity sketches (a bit a token, 1024 at least) differ in no
+more bits than the sets differ in tokens, and at 0.8 sets differ in at most a ninth of their total
+size.
 
 The frequency table only orders tokens, so it may be bounded (``FREQUENT_MOST`` rows go to every
 task) without losing a link. Shingles are compared by 64-bit hashes.
@@ -59,8 +60,9 @@ def tokens_of(text: str | None) -> np.ndarray:
 
 
 def sketch_of(tokens: np.ndarray) -> np.ndarray:
-    """Parity of the tokens in each of 1024 slots, as 16 words."""
-    odd = np.bincount((tokens & np.uint64(SKETCH - 1)).astype(np.int64), minlength=SKETCH) & 1
+    """Parity of the tokens in each of a power of two of slots, as many as tokens at least, in words of 64."""
+    slots = max(SKETCH, 1 << int(len(tokens) - 1).bit_length())
+    odd = np.bincount((tokens & np.uint64(slots - 1)).astype(np.int64), minlength=slots) & 1
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
@@ -186,6 +188,11 @@ def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
     side = classes.select("node", "n", "sketch")
     pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
     pairs = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+    # sizes within a factor of 0.8 have sketches of one size, or of two that are a factor of two apart: the larger is folded
+    part = lambda c, k: F.slice(c, k, F.floor(F.size(c) / 2).cast("int"))
+    half = lambda c: F.zip_with(part(c, F.lit(1)), part(c, F.floor(F.size(c) / 2).cast("int") + 1), lambda x, y: x.bitwiseXOR(y))
+    pairs = pairs.withColumn("sa", F.when(F.size("sa") > F.size("sb"), half("sa")).otherwise(F.col("sa")))
+    pairs = pairs.withColumn("sb", F.when(F.size("sb") > F.size("sa"), half("sb")).otherwise(F.col("sb")))
     apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
     pairs = pairs.select("a", "b", "na", "nb", apart.alias("apart"))
     return pairs.filter("9 * apart <= na + nb").select("a", "b", (F.col("apart") / (F.col("na") + F.col("nb"))).alias("apart"))

@@ -59,6 +59,7 @@ def corpus():
     texts = [None, "", " \t", "one", "one", "ONE", "a b c d", "a b c d e", "É x y z v w", "é x y z v w"]
     texts += family(rng, words, text(120), 90, 3) + family(rng, words, text(40), 40, 1) + family(rng, words, text(400), 30, 8)
     texts += [f"{text(rng.randint(0, 12))} {passage} {text(rng.randint(0, 12))}" for _ in range(60)]
+    texts += family(rng, words, text(1100), 12, 40) + family(rng, words, text(2300), 8, 60)
     texts += [text(rng.randint(1, 80)) for _ in range(100)] + [text(9000)] * 2
     rng.shuffle(texts)
     return [(3 * i if i != 17 else None, t) for i, t in enumerate(texts)] + [(30, text(50)), (30, text(50))]
@@ -72,10 +73,10 @@ def test_links_equal_brute_force(spark, monkeypatch):
     for (i, _), g in zip(rows, found):
         if g is not None and i is not None:
             least[g] = min(least.get(g, i), i)
-    want = sorted((i if i is not None else -1, len(s), least[g] if g is not None else i) for (i, _), g, s in zip(rows, found, sets))
+    want = sorted(((i if i is not None else -1, len(s), least.get(g) if g is not None else i) for (i, _), g, s in zip(rows, found, sets)), key=repr)
     for frequent, combine in ((24, 200), (3, 60)):
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-        got = sorted((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard.link(docs, combine=combine).collect())
+        got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard.link(docs, combine=combine).collect()), key=repr)
         assert got == want
     kept = jaccard.keep_one(docs).collect()
     assert len(kept) == len({g for g in found if g is not None}) + sum(g is None for g in found)

@@ -53,26 +53,27 @@ def tier_search(rows: DataFrame, key: str, text: str, phrases: dict[str, str], k
 
 
 def grounded(passages: DataFrame, passage_key: str, passage: str, docs: DataFrame, doc_key: str, text: str, words: int = 5) -> DataFrame:
-    """How many documents hold each passage (normalised), and the first: candidates share the passage's rarest gram.
+    """How many documents hold each passage (normalised), and the first: candidates share a gram.
 
-    Every passage is looked for under the hash of one of its grams of ``words`` words, so that
-    documents meet passages by an equi join; shorter passages go under their first word.
+    A passage is looked for under the hash of its inner words, at most ``words`` of them (its first
+    and last may be parts of longer words in a document), so that documents meet passages by an equi
+    join. Passages of one or two words have no inner word and are searched for as they are.
     """
     normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     p = passages.select(F.col(passage_key).alias("_p"), normal(F.col(passage)).alias("_pt"))
     split = F.split("_pt", " ")
-    # inner words are whole in a document too; the first and last may be parts of longer ones there
-    inner = F.slice(split, 2, words)
-    long = p.filter(F.size(split) >= words + 2).withColumn("_g", F.xxhash64(F.array_join(inner, " ")))
-    short = p.filter(F.size(split) < words + 2)
+    size = F.least(F.lit(words), F.size(split) - 2)
+    long = p.filter(F.size(split) > 2).withColumn("_g", F.xxhash64(F.array_join(F.slice(split, 2, size), " "), size))
+    short = p.filter(F.size(split) <= 2)
+    sizes = [r["s"] for r in long.select(size.alias("s")).distinct().collect()]  # at most `words` numbers
     d = docs.select(F.col(doc_key).alias("_d"), normal(F.col(text)).alias("_dt"))
     tokens = F.split("_dt", " ")
-    grams = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - words + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, words), " "))))
-    wanted = long.select("_g").distinct()
-    hits = d.select("_d", F.explode(grams).alias("_g")).join(wanted, "_g", "left_semi").join(long, "_g").join(d, "_d")
+    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " "), F.lit(n)))
+    grams = F.array_distinct(F.flatten(F.array(*map(gram, sizes)))) if sizes else F.array().cast("array<bigint>")
+    hits = d.select("_d", F.explode(grams).alias("_g")).join(long, "_g").join(d, "_d")
     found = hits.filter(F.contains("_dt", F.col("_pt"))).select("_p", "_d")
-    if not short.isEmpty():  # passages too short for an inner gram are compared one by one with every document
-        found = found.unionByName(d.join(F.broadcast(short), F.contains("_dt", F.col("_pt"))).select("_p", "_d"))
+    if not short.isEmpty():
+        found = found.unionByName(d.join(short, F.contains("_dt", F.col("_pt"))).select("_p", "_d"))
     counted = found.distinct().groupBy("_p").agg(F.count("*").alias("n"), F.min("_d").alias("first_doc"))
     out = p.select("_p").join(counted, "_p", "left")
     return out.select(F.col("_p").alias(passage_key), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "first_doc")

@@ -183,19 +183,15 @@ def _tokens(rows: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
     return materialize(found.join(wanted, "node", "left_semi"), "tokens")
 
 
-def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
-    """Pairs (a, b, apart) that the sketches don't rule out."""
-    side = classes.select("node", "n", "sketch")
-    pairs = pairs.join(side.select(F.col("node").alias("a"), F.col("n").alias("na"), F.col("sketch").alias("sa")), "a")
-    pairs = pairs.join(side.select(F.col("node").alias("b"), F.col("n").alias("nb"), F.col("sketch").alias("sb")), "b")
+def _apart(a: str, b: str, na: str, nb: str):
+    """Bits in which two sketches differ, NULL where they rule out a similarity of 0.8."""
     # sizes within a factor of 0.8 have sketches of one size, or of two that are a factor of two apart: the larger is folded
     part = lambda c, k: F.slice(c, k, F.floor(F.size(c) / 2).cast("int"))
     half = lambda c: F.zip_with(part(c, F.lit(1)), part(c, F.floor(F.size(c) / 2).cast("int") + 1), lambda x, y: x.bitwiseXOR(y))
-    pairs = pairs.withColumn("sa", F.when(F.size("sa") > F.size("sb"), half("sa")).otherwise(F.col("sa")))
-    pairs = pairs.withColumn("sb", F.when(F.size("sb") > F.size("sa"), half("sb")).otherwise(F.col("sb")))
-    apart = F.aggregate(F.zip_with("sa", "sb", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
-    pairs = pairs.select("a", "b", "na", "nb", apart.alias("apart"))
-    return pairs.filter("9 * apart <= na + nb").select("a", "b", (F.col("apart") / (F.col("na") + F.col("nb"))).alias("apart"))
+    sa = F.when(F.size(a) > F.size(b), half(a)).otherwise(F.col(a))
+    sb = F.when(F.size(b) > F.size(a), half(b)).otherwise(F.col(b))
+    bits = F.aggregate(F.zip_with(sa, sb, lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda s, x: s + x)
+    return F.when(9 * bits <= F.col(na) + F.col(nb), bits)
 
 
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
@@ -235,9 +231,11 @@ def _with_component(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
 def _star_pairs(postings: DataFrame, turn: int) -> DataFrame:
     """Each class of a key with the key's centre, across components."""
     luck = F.xxhash64("node", F.col("key").bitwiseAND(F.lit(7)), F.lit(turn))
-    centre = postings.groupBy("key").agg(F.min(F.struct(luck.alias("luck"), "node", "n", "component")).alias("c"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key", "c")
-    pairs = postings.join(centre, "key").filter("component <> c.component and 5 * n >= 4 * c.n and 5 * c.n >= 4 * n")
-    return pairs.select(F.least("node", "c.node").alias("a"), F.greatest("node", "c.node").alias("b")).distinct()
+    centre = postings.groupBy("key").agg(F.min(F.struct(luck.alias("luck"), "node", "n", "component", "sketch")).alias("c"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key", "c")
+    centre = centre.select(F.col("key").alias("ck"), F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc"), F.col("c.sketch").alias("cs"))
+    near = (F.col("component") != F.col("cc")) & (5 * F.col("n") >= 4 * F.col("cn")) & (5 * F.col("cn") >= 4 * F.col("n")) & _apart("sketch", "cs", "n", "cn").isNotNull()
+    pairs = postings.join(centre, (F.col("key") == F.col("ck")) & near)  # only likely pairs leave the join
+    return pairs.select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b"), (_apart("sketch", "cs", "n", "cn") / (F.col("n") + F.col("cn"))).alias("apart")).distinct()
 
 
 def _all_pairs(postings: DataFrame) -> DataFrame:
@@ -245,9 +243,9 @@ def _all_pairs(postings: DataFrame) -> DataFrame:
     sizes = postings.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("m.component").alias("main"))
     open_ = postings.join(main, "key")
-    left = open_.filter("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"))
-    right = open_.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), "main")
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (5 * F.col("nx") >= 4 * F.col("ny")) & (5 * F.col("ny") >= 4 * F.col("nx"))
+    left = open_.filter("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
+    right = open_.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), "main")
+    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (5 * F.col("nx") >= 4 * F.col("ny")) & (5 * F.col("ny") >= 4 * F.col("nx")) & _apart("sx", "sy", "nx", "ny").isNotNull()
     pairs = left.join(right, (left["key"] == right["key"]) & apart)
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
 
@@ -269,16 +267,16 @@ def link(docs: DataFrame, combine: int = COMBINE, turns: int = 3) -> DataFrame:
     classes = materialize(found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
     postings = found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.explode("keys").alias("key"))
     postings = postings.withColumn("together", F.count("*").over(Window.partitionBy("key"))).filter("together > 1").drop("together")
-    postings = materialize(postings, "postings")
+    postings = materialize(postings.join(classes.select("node", "sketch"), "node"), "postings")
 
     alone = postings.withColumn("component", F.col("node"))
     stars = reduce(DataFrame.union, [_star_pairs(alone, turn) for turn in range(turns)]).distinct()
     best = Window.partitionBy("b").orderBy("apart", "a")
-    likely = _likely(stars, classes).withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 3 * turns)
+    likely = stars.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 3 * turns)
     likely = materialize(likely.select("a", "b"), "pairs")
     edges = materialize(_verified(likely, _tokens(rows, likely, seed)), "links")
     labels = components(edges)
-    rest = materialize(_likely(_all_pairs(_with_component(postings, labels)), classes).select("a", "b"), "pairs")
+    rest = materialize(_all_pairs(_with_component(postings, labels)), "pairs")
     if not rest.isEmpty():
         rest = materialize(_verified(rest, _tokens(rows, rest, seed)), "links")
         if not rest.isEmpty():

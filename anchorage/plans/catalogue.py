@@ -461,7 +461,7 @@ def distinct_combos(spark, sf_dir):
 def pool_match(spark, sf_dir):
     """The pool entry that shares most words with each name, where it is the only best."""
     part = read(spark, sf_dir, "part")
-    names = part.filter("p_partkey % 10 = 0").select(F.col("p_name").alias("name"), F.explode(F.split(T.words_key(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("word")).distinct()
+    names = part.select(F.col("p_name").alias("name"), F.explode(F.split(T.words_key(F.concat_ws(" ", "p_name", "p_type")), " ")).alias("word")).distinct()
     pool = part.select(F.col("p_type").alias("t"), F.explode(F.split(T.words_key(F.col("p_type")), " ")).alias("word")).distinct()
     return links.best_in_pool(names, "name", pool, "t", "word", "match")
 

@@ -33,3 +33,18 @@ def test_near_dup_ids_of_all_customers(run):
     want = {(a, b) for a in ids for b in ids if a < b and _distance(a, b) <= 1}
     assert ("Customer#000000301", "Customer#000000302") in want
     assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_pool_match_of_all_parts(run):
+    part = [(10, "green bolt", "LARGE TIN"), (11, "green bolt", "SMALL TIN"), (12, "blue rod", "LARGE STEEL"), (21, "odd nut", "ECONOMY BRASS"), (30, "blue rod", "LARGE STEEL")]
+    got = dict(map(tuple, run("pool_match", part=("p_partkey long, p_name string, p_type string", part))))
+    words, pool = {}, {t for _, _, t in part}
+    for _, name, kind in part:
+        words.setdefault(name, set()).update(f"{name} {kind}".lower().split())
+    want = {}
+    for name, own in words.items():
+        score = {t: len(own & set(t.lower().split())) for t in pool}
+        best = [t for t in pool if score[t] == max(score.values()) > 0]
+        want[name] = best[0] if len(best) == 1 else None
+    assert want == {"green bolt": None, "blue rod": "LARGE STEEL", "odd nut": "ECONOMY BRASS"}
+    assert got == want

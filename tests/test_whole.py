@@ -48,3 +48,22 @@ def test_pool_match_of_all_parts(run):
         want[name] = best[0] if len(best) == 1 else None
     assert want == {"green bolt": None, "blue rod": "LARGE STEEL", "odd nut": "ECONOMY BRASS"}
     assert got == want
+
+
+def test_denorm_consistency_of_all_orders(run):
+    got = run(
+        "denorm_consistency",
+        orders=("o_orderkey long, o_custkey long, o_orderstatus string", [(1, 1, "F"), (2, 1, "O"), (3, 2, "P"), (4, 2, "F")]),
+        customer=("c_custkey long, c_nationkey int", [(1, 5), (2, 6)]),
+        supplier=("s_suppkey long, s_nationkey int", [(1, 5), (2, 6)]),
+        lineitem=("l_orderkey long, l_linenumber int, l_suppkey long", [(1, 1, 1), (1, 2, 2), (2, 1, 2), (3, 1, 1), (4, 1, 2)]),
+    )
+    assert sorted(map(tuple, got)) == [(1, 2, 6, 5), (2, 1, 6, 5), (3, 1, 5, 6)]
+
+
+def test_wide_to_long_of_all_lines(run):
+    schema = "l_orderkey long, l_linenumber int, l_returnflag string, l_quantity double, l_extendedprice double, l_discount double, l_tax double"
+    lines = [(1, 1, "R", 1.0, 2.0, 0.1, 0.2), (1, 2, "A", 3.0, 4.0, 0.3, 0.4), (2, 1, "N", 5.0, 6.0, 0.5, 0.6)]
+    got = run("wide_to_long", lineitem=(schema, lines))
+    assert {tuple(r) for r in got} == {(o, n, m, v) for o, n, _, *vs in lines for m, v in zip(("quantity", "price", "discount", "tax"), vs)}
+    assert len(got) == 12

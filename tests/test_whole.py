@@ -1,5 +1,7 @@
 """Queries over all their rows: small tables against plain restatements."""
 
+import datetime
+
 import pytest
 
 from anchorage.plans import catalogue
@@ -67,3 +69,16 @@ def test_wide_to_long_of_all_lines(run):
     got = run("wide_to_long", lineitem=(schema, lines))
     assert {tuple(r) for r in got} == {(o, n, m, v) for o, n, _, *vs in lines for m, v in zip(("quantity", "price", "discount", "tax"), vs)}
     assert len(got) == 12
+
+
+def test_round_trip_of_all_documents(run):
+    got = run("round_trip", documents=("doc_id long, text string", [(n, "") for n in range(1, 7)]), labels=("doc_id long", [(2,), (3,), (9,)]))
+    assert dict(map(tuple, got)) == {1: "only_text", 2: "both", 3: "both", 4: "only_text", 5: "only_text", 6: "only_text", 9: "only_label"}
+    assert len(got) == 7
+
+
+def test_latest_by_field_of_all_events(run):
+    at = [datetime.datetime(2024, 1, d) for d in (1, 2, 3)]
+    events = [(1, 7, "view", 1.0, at[0]), (3, 7, "view", 2.0, at[1]), (6, 7, "click", 3.0, at[0]), (4, 8, "view", 4.0, at[2]), (9, 8, "view", 5.0, at[2])]
+    got = run("latest_by_field", events=("event_id long, user_id long, event_type string, value double, ts timestamp", events))
+    assert sorted((r.user_id, r.event_type, r.event_id, r.value) for r in got) == [(7, "click", 6, 3.0), (7, "view", 3, 2.0), (8, "view", 9, 5.0)]

@@ -510,6 +510,6 @@ def outcome_exists(spark, sf_dir):
 
 @query("SELECT vec_id, CAST(i - 1 AS INTEGER) AS i, round(CAST(embedding[i] AS DOUBLE) / 612, 9) AS x FROM embeddings, unnest(generate_series(1, 4)) g(i)")
 def polygon_norm(spark, sf_dir):
-    """The first coordinates of each vector over a page's width."""
-    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(documents.scaled(F.slice("embedding", 1, 4), 612)).alias("i", "x"))
+    """The coordinates of each vector over a page's width."""
+    e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(documents.scaled(F.col("embedding"), 612)).alias("i", "x"))
     return e.select("vec_id", "i", F.round("x", 9).alias("x"))

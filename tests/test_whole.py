@@ -82,3 +82,10 @@ def test_latest_by_field_of_all_events(run):
     events = [(1, 7, "view", 1.0, at[0]), (3, 7, "view", 2.0, at[1]), (6, 7, "click", 3.0, at[0]), (4, 8, "view", 4.0, at[2]), (9, 8, "view", 5.0, at[2])]
     got = run("latest_by_field", events=("event_id long, user_id long, event_type string, value double, ts timestamp", events))
     assert sorted((r.user_id, r.event_type, r.event_id, r.value) for r in got) == [(7, "click", 6, 3.0), (7, "view", 3, 2.0), (8, "view", 9, 5.0)]
+
+
+def test_polygon_norm_of_all_coordinates(run):
+    vectors = {1: [float(n) for n in range(64)], 2: [612.0, -306.0], 3: [1.0] * 5}
+    got = run("polygon_norm", embeddings=("vec_id long, embedding array<float>", list(vectors.items())))
+    assert {(r.vec_id, r.i): r.x for r in got} == {(k, i): round(x / 612, 9) for k, v in vectors.items() for i, x in enumerate(v)}
+    assert len(got) == 71

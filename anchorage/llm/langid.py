@@ -2,9 +2,9 @@
 
 Text is lower-cased, everything but letters becomes one blank, and each character is predicted from
 the three before it. Counting is distributed: each task counts the 4-grams of its rows by language
-in sorted arrays, and an aggregation adds them up over all training rows. From a language's most
-frequent ``grams`` 4-grams (a bound on the model's size, not on the rows counted) the model takes
-absolute discounting at the top order and continuation counts below it:
+in sorted arrays, and an aggregation adds them up over all training rows. From all of a language's
+4-grams the model takes absolute discounting at the top order and continuation counts below it, so
+its size grows with the distinct 4-grams of the training text:
 
     P(c | h) = max(N(hc) - D, 0) / N(h) + D T(h) / N(h) P(c | shorter h)
 
@@ -27,12 +27,13 @@ import re
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .common import crc_mod, mix64, prepare
 
-ORDER, GRAMS, CALIBRATION, DISCOUNT, REJECT, REJECT_BITS, LEAST = 4, 60_000, 1_000, 0.75, 12.0, 2.0, 40
+ORDER, CALIBRATION, DISCOUNT, REJECT, REJECT_BITS, LEAST = 4, 1_000, 0.75, 12.0, 2.0, 40
 _OTHER = re.compile(r"[\W\d_]+")
 _BLANK = np.uint64(32)
 
@@ -193,20 +194,18 @@ class Models:
         return out, sizes
 
 
-def fit(docs: DataFrame, grams_kept: int = GRAMS, calibration: int = CALIBRATION, reject: float = REJECT) -> dict:
+def fit(docs: DataFrame, calibration: int = CALIBRATION, reject: float = REJECT) -> dict:
     """Models and rejection limits from the rows of (doc_id, text, lang) given.
 
-    What comes to the driver is at most ``grams_kept`` grams and two numbers for each language.
+    What comes to the driver is the distinct grams and two numbers for each language.
     """
     prepare(docs.sparkSession)
-    counted = count_grams(docs)
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "gram")
-    kept = counted.withColumn("place", F.row_number().over(top)).filter(F.col("place") <= grams_kept).select("lang", "gram", "n").toArrow()
-    langs = np.array(kept.column("lang").to_pylist(), dtype=object)
+    kept = count_grams(docs).toArrow()
+    langs = kept.column("lang")
     keys, n = kept.column("gram").to_numpy().astype(np.int64).view(np.uint64), kept.column("n").to_numpy()
     counts = {}
-    for lang in sorted(set(langs.tolist())):
-        own = langs == lang
+    for lang in sorted(langs.unique().to_pylist()):
+        own = pc.equal(langs, lang).to_numpy()
         order = np.argsort(keys[own])
         counts[lang] = (keys[own][order], n[own][order])
     models = Models(counts)
@@ -238,7 +237,7 @@ def predict(docs: DataFrame, model: dict, keep: str | None = None) -> DataFrame:
     ``keep``: return instead the rows of docs that are not rejected, all columns.
     """
     spark = prepare(docs.sparkSession)
-    box = spark.sparkContext.broadcast(model)  # bounded by the grams kept
+    box = spark.sparkContext.broadcast(model)  # as large as the distinct grams of the training text
 
     def judge(texts):
         models, limits = box.value["models"], box.value["limits"]

@@ -96,3 +96,17 @@ def test_toxicity_edges(spark):
         got = {r.doc_id: r.score for r in toxicity.score(docs, toxicity.fit(docs, given)).collect()}
         assert all(0 <= v <= 1 for v in got.values()) and got[6] == got[7] and got[0] == got[1] == got[2] < got[None]
     assert toxicity.score(docs.filter("false"), {"entries": {" a ": 1.0}, "weights": [0, 1, 1]}).count() == 0
+
+
+def test_langid_keeps_every_gram(spark):
+    letters = [chr(0x4E00 + n) for n in range(62_000 // 2)]  # 31,000 words of one letter: over 60,000 distinct 4-grams
+    words = " ".join(letters)
+    docs = spark.createDataFrame([(1, words, "zh"), (2, "the cat sat on the mat", "en")], "doc_id long, text string, lang string")
+    padded = langid.symbols(words)
+    want = np.unique(langid.grams(padded))
+    assert len(want) > 60_000
+    models = langid.fit(docs)["models"]
+    plain = langid.Models({"zh": np.unique(langid.grams(padded), return_counts=True), "en": np.unique(langid.grams(langid.symbols("the cat sat on the mat")), return_counts=True)})
+    probes = [" ".join(letters[-50:]), "the cat"]
+    assert len(models.tables[4].hashes) == len(plain.tables[4].hashes)
+    assert np.allclose(models.entropies(probes)[0], plain.entropies(probes)[0])

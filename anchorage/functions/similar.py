@@ -45,9 +45,19 @@ def differs_in_letters_only(value: Column, span: Column) -> Column:
 
 
 def close_matches(terms: DataFrame, term: str, vocabulary: DataFrame, entry: str, least: float = 0.3, most: int = 5) -> DataFrame:
-    """Advice: up to ``most`` entries like each term. The vocabulary is a fixed list of a few hundred words."""
-    pairs = terms.select(term).distinct().join(F.broadcast(vocabulary.select(entry)), F.lower(F.substring(term, 1, 1)) == F.lower(F.substring(entry, 1, 1)))
-    scored = pairs.withColumn("ratio", ratio(F.lower(term), F.lower(entry))).filter(F.col("ratio") >= least)
+    """Advice: up to ``most`` entries like each term. The vocabulary is a fixed list of a few dozen words, held in the function."""
+    words = [r[0] for r in vocabulary.select(entry).distinct().collect() if r[0] is not None]
+
+    @F.pandas_udf("array<struct<entry: string, ratio: double>>")
+    def like(values: pd.Series) -> pd.Series:
+        out = []
+        for v in values:
+            rated = [(w, SequenceMatcher(None, w.lower(), v.strip().lower()).ratio()) for w in words] if v is not None else []
+            out.append([{"entry": w, "ratio": r} for w, r in rated if r >= least])
+        return pd.Series(out)
+
+    found = terms.select(term).distinct().select(term, F.explode(like(F.col(term))).alias("_m"))
+    scored = found.select(term, F.col("_m.entry").alias(entry), F.col("_m.ratio").alias("ratio"))
     place = F.row_number().over(Window.partitionBy(term).orderBy(F.desc("ratio"), entry))
     return scored.withColumn("place", place).filter(F.col("place") <= most)
 

@@ -144,3 +144,16 @@ def test_layers():
     assert "Observation" in ledger.dependents(ledger.DEPENDENCIES, {"Species"})
     with pytest.raises(ValueError):
         ledger.layers((("a", "b"), ("b", "a")))
+
+
+def test_close_matches_of_other_first_letters(spark):
+    from difflib import get_close_matches
+
+    from anchorage.functions import similar
+
+    words = ["total_nitrogen", "aboveground_biomass", "grain_yield", "leaf_area_index", "root_depth", "plant_height"]
+    terms = ["nitrogen", "biomass", "yield", "qqq"]
+    found = similar.close_matches(spark.createDataFrame([(t,) for t in terms], "t string"), "t", spark.createDataFrame([(w,) for w in words], "w string"), "w").collect()
+    for t in terms:
+        assert {r.w for r in found if r.t == t} == set(get_close_matches(t, words, 5, 0.3))
+    assert ("nitrogen", "total_nitrogen") in {(r.t, r.w) for r in found}

@@ -42,9 +42,11 @@ def prepare(spark: SparkSession) -> SparkSession:
 
 
 def shared_path(spark: SparkSession, label: str) -> str:
-    """A new path below spark.checkpoint.dir; a folder of our own only where that is unset (tests)."""
+    """A new path below spark.checkpoint.dir. Where that is unset, a local session gets a folder of its own; a cluster must name one."""
     top = spark.conf.get("spark.checkpoint.dir", None)
     if not top:
+        if not spark.sparkContext.master.startswith("local["):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         top = "file://" + tempfile.mkdtemp(prefix="anchorage-")
         spark.conf.set("spark.checkpoint.dir", top)
     return f"{top.rstrip('/')}/{label}-{uuid.uuid4().hex}"
@@ -56,7 +58,17 @@ def materialize(df: DataFrame, label: str, partition_by: str | None = None) -> D
     path = shared_path(spark, label)
     writer = df.write.option("compression", "zstd")
     (writer.partitionBy(partition_by) if partition_by else writer).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    found = spark.read.schema(df.schema).parquet(path)
+    found.written_to = path
+    return found
+
+
+def release(*frames: DataFrame) -> None:
+    """Delete what ``materialize`` wrote for frames whose readers have all been written out themselves."""
+    for frame in frames:
+        sc = frame.sparkSession.sparkContext
+        place = sc._jvm.org.apache.hadoop.fs.Path(frame.written_to)
+        place.getFileSystem(sc._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def parallelism(spark: SparkSession) -> int:

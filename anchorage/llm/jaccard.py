@@ -2,23 +2,28 @@
 
 A document's tokens are the hashes of its distinct five-word shingles. Documents of equal sets form
 one class; links are sought between classes. Tokens have one global order: rare ones first, then the
-frequent ones by frequency. Two classes at similarity t have their first k common tokens within the
-first n - ceil(t n) + k tokens of either, so with k = 2 either their first common token is rare and
-stands in both 1-prefixes, or their first two common tokens are frequent and stand in both
-2-prefixes. The index therefore holds a class under each rare token of its 1-prefix and under each
-pair of frequent tokens of its 2-prefix (sets of more than ``combine`` tokens, whose pairs would be
-many, under single frequent tokens; sizes near that limit under both).
+frequent ones by frequency; the frequent ones fall into m token classes by their hash, m in
+proportion to the set's size (an eighth of the power of two below it). Two sets at similarity t have
+their first k common tokens within the first n - ceil(t n) + k tokens of either. So either their first
+common token is rare and stands in both 1-prefixes, or their first m + 1 common tokens are frequent,
+stand in both prefixes extended by m, and two of them are of one token class. The index therefore
+holds a set under each rare token of its 1-prefix and under each pair of frequent tokens of one class
+in its extended prefix: about as many keys as a prefix has tokens, at every size. The m of a pair is
+that of its smaller set; a set whose partners may have the next lower m is indexed under both.
 
 What is asked for is components, and so within a component no further link is needed:
 
-1. Stars: classes under a key are paired with centres of that key (by a few orders, so that a
-   class meets few centres), the likeliest pairs are verified, components are formed.
+1. Stars: under a few keys of each class (those of least hash, which near copies have in common) the
+   class is paired with the key's centre, the set with the fewest rare tokens: of a group of copies
+   the one they were made from. These pairs are verified, components are formed.
 2. Completion: for every key that still holds several components, all pairs across components are
    verified, from the side that is not in the key's largest component. Nothing is capped.
 
-Before that, pairs pass an exact filter: parity sketches (a bit a token, 1024 at least) differ in no
-more bits than the sets differ in tokens, and at 0.8 sets differ in at most a ninth of their total
-size.
+A pair leaves the join of a key only if sizes and places of the key's first token in both sets allow a
+similarity of 0.8: at most ``slack`` common tokens stand up to that place (one for a rare token; for a
+pair of frequent ones m, and no more than the frequent tokens up to there), the rest behind it. Then parity sketches (a bit a token, 1024 at least),
+looked up once a set, rule out more: they differ in no more bits than the sets differ in tokens, and
+at 0.8 sets differ in at most a ninth of their total size. What is left is verified on the tokens.
 
 The frequency table only orders tokens, so it may be bounded (``FREQUENT_MOST`` rows go to every
 task) without losing a link. Shingles are compared by 64-bit hashes.
@@ -26,21 +31,19 @@ task) without losing a link. Shingles are compared by 64-bit hashes.
 Cases: null text, empty text and text without words have no tokens and no links; fewer than five
 words are one shingle of them all; repeated rows are one class; a null doc_id takes part, and the
 smallest doc_id that is not null names the component; repeated doc_ids with different texts are
-separate documents; an empty table gives no rows; other columns are ignored.
+separate documents; an empty table gives no rows; other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
-from functools import reduce
-
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import bitmap_of, in_bitmap, materialize, mix64, prepare
+from .common import bitmap_of, in_bitmap, materialize, mix64, prepare, release
 
-WORDS, FREQUENT, FREQUENT_MOST, COMBINE, SKETCH = 5, 24, 1 << 17, 200, 1024
+WORDS, FREQUENT, FREQUENT_MOST, SKETCH, STARS = 5, 24, 1 << 17, 1024, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -66,27 +69,44 @@ def sketch_of(tokens: np.ndarray) -> np.ndarray:
     return np.packbits(odd.astype(np.uint8)).view(np.int64)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray, combine: int = COMBINE) -> np.ndarray:
-    """The keys a set is indexed under; ``frequent``: sorted tokens, with their counts."""
+def token_classes(level: int) -> int:
+    """Number of classes of frequent tokens for sets of 2**level tokens and more."""
+    return 1 << max(0, level - 3)
+
+
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
+    """The keys a set is indexed under, the place of each key's first token, its slack; the set's rare tokens in 1000.
+
+    ``frequent``: sorted tokens, with their counts. Sets of fewer than four tokens are like no other set.
+    """
     n = len(tokens)
     often = np.zeros(n, np.int64)
     if len(frequent):
         at = np.minimum(np.searchsorted(frequent, tokens), len(frequent) - 1)
         often = np.where(frequent[at] == tokens, counts[at], 0)
     order = np.lexsort((tokens, often))
-    short = n - (4 * n + 4) // 5 + 1
-    rare = tokens[order[:short]][often[order[:short]] == 0]
-    head = order[: short + 1]
-    common = tokens[head][often[head] > 0]
-    keys = [rare]
-    if len(common):
-        if n <= combine and len(common) > 1:
-            i, j = np.triu_indices(len(common), 1)
-            a, b = np.minimum(common[i], common[j]), np.maximum(common[i], common[j])
-            keys.append(mix64(a * _STEP + b))
-        if n > combine * 4 // 5:
-            keys.append(mix64(common ^ _STEP))
-    return np.concatenate(keys)
+    ranked, common = tokens[order], often[order] > 0
+    often_n = int(common.sum())
+    odd = 1000 * (n - often_n) // max(n, 1)
+    if n < 4:
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), odd
+    least = (4 * n + 4) // 5
+    short = n - least + 1
+    rare = np.flatnonzero(~common[:short])
+    keys, places, slacks = [ranked[rare]], [rare], [np.ones(len(rare), np.int64)]
+    for level in sorted({n.bit_length() - 1, least.bit_length() - 1}):
+        m = token_classes(level)
+        at = np.flatnonzero(common[: short + m])
+        kind = ranked[at] >> np.uint64(40) & np.uint64(m - 1)
+        at = at[np.argsort(kind, kind="stable")]  # by class, in order within a class
+        size = np.bincount(kind.astype(np.int64), minlength=m)
+        behind = np.repeat(np.cumsum(size), size) - np.arange(len(at)) - 1
+        i = np.repeat(np.arange(len(at)), behind)
+        j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
+        keys.append(mix64((ranked[at[i]] * _STEP + ranked[at[j]]) ^ np.uint64(level + 1)))
+        places.append(at[i])
+        slacks.append(np.minimum(m, at[i] - (n - often_n) + 1))
+    return np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(slacks).astype(np.int32), odd
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -125,13 +145,13 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order].astype(np.int64)
 
 
-_SETS = "kind string, doc_id long, text_hash long, n long, node long, other long, sketch array<long>, keys array<long>"
+_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("odd", pa.int32()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))])
+_SETS_DDL = "kind string, doc_id long, text_hash long, n int, node long, other long, odd int, sketch array<long>, keys array<long>, places array<int>, slacks array<int>"
 
 
-def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, combine: int, seed: int) -> DataFrame:
+def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, seed: int) -> DataFrame:
     """Rows of kind 'doc' for each document, and of kind 'class' for each distinct set, once a task at least."""
     box = rows.sparkSession.sparkContext.broadcast((frequent, counts))
-    schema = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int64()), ("node", pa.int64()), ("other", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64()))])
 
     def run(batches):
         for batch in batches:
@@ -139,17 +159,18 @@ def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, combine: in
             for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = tokens_of(text)
                 if not len(tokens):
-                    out.append(("doc", doc_id, text_hash, 0, None, None, None, None))
+                    out.append(("doc", doc_id, text_hash, 0, *[None] * 7))
                     continue
                 node, other = _names(tokens, seed)
-                out.append(("doc", doc_id, text_hash, len(tokens), node, other, None, None))
+                out.append(("doc", doc_id, text_hash, len(tokens), node, other, *[None] * 5))
                 if node not in seen:
                     seen.add(node)
-                    out.append(("class", None, None, len(tokens), node, None, sketch_of(tokens), index_keys(tokens, *box.value, combine).view(np.int64)))
+                    keys, places, slacks, odd = index_keys(tokens, *box.value)
+                    out.append(("class", None, None, len(tokens), node, None, odd, sketch_of(tokens), keys.view(np.int64), places, slacks))
             if out:
-                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), schema)], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _SETS)], schema=_SETS)
 
-    found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, _SETS)
+    found = rows.select("doc_id", "text_hash", "text").mapInArrow(run, _SETS_DDL)
     return materialize(found, "sets", partition_by="kind")
 
 
@@ -194,15 +215,31 @@ def _apart(a: str, b: str, na: str, nb: str):
     return F.when(9 * bits <= F.col(na) + F.col(nb), bits)
 
 
+def _likely(pairs: DataFrame, classes: DataFrame) -> DataFrame:
+    """The pairs (a, b) that the sketches don't rule out."""
+    for side in ("a", "b"):
+        pairs = pairs.join(classes.select(F.col("node").alias(side), F.col("n").alias(f"n{side}"), F.col("sketch").alias(f"s{side}")), side)
+    return pairs.filter(_apart("sa", "sb", "na", "nb").isNotNull()).select("a", "b")
+
+
 def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     """The pairs whose sets are at least 0.8 alike: 100 * common >= 80 * united."""
-    pairs = pairs.join(tokens.select(F.col("node").alias("a"), F.col("tokens").alias("ta")), "a")
-    pairs = pairs.join(tokens.select(F.col("node").alias("b"), F.col("tokens").alias("tb")), "b")
+    for side in ("b", "a"):
+        pairs = pairs.join(tokens.select(F.col("node").alias(side), F.col("tokens").alias(f"t{side}")), side)
     common = F.size(F.array_intersect("ta", "tb"))
     pairs = pairs.select("a", "b", common.alias("common"), (F.size("ta") + F.size("tb")).alias("total"))
     return pairs.filter("100 * common >= 80 * (total - common)").select("a", "b")
 
 
+def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+    """The pairs of a table that are links; the table goes."""
+    likely = materialize(_likely(pairs, classes), "likely")
+    tokens = _tokens(rows, likely, seed)
+    links = materialize(_verified(likely, tokens), "links")
+    release(pairs, likely, tokens)
+    return links
+
+
 def components(edges: DataFrame) -> DataFrame:
     """node, component (its least node) of every node of the edges (a, b)."""
     both = materialize(edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
@@ -216,41 +253,75 @@ def components(edges: DataFrame) -> DataFrame:
         far = new.join(step, "to").select("node", "was", F.least("to", "next").alias("to"))
         far = far.join(step, "to").select("node", "was", F.least("to", "next").alias("component"))
         far = materialize(far, "labels")
-        labels = far.select("node", "component")
+        release(labels, new)
+        labels = far
         if far.filter("component <> was").isEmpty():
+            release(both)
             return labels
 
 
-def _with_component(postings: DataFrame, labels: DataFrame | None) -> DataFrame:
-    if labels is None:
-        return postings.withColumn("component", F.col("node"))
-    found = postings.join(labels, "node", "left")
-    return found.withColumn("component", F.coalesce("component", "node"))
-
+def _postings(found: DataFrame) -> DataFrame:
+    """key, node, n, place, slack, odd, turn: of keys that several sets have; turn: the key's place among the set's by hash."""
+    entries = found.select("node", F.explode("keys").alias("key"))
+    shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
+    shared = materialize(shared, "shared")
+    words = bitmap_of(shared, "key", 24)  # sieves, the join below decides
 
-def _star_pairs(postings: DataFrame, turn: int) -> DataFrame:
-    """Each class of a key with the key's centre, across components."""
-    luck = F.xxhash64("node", F.col("key").bitwiseAND(F.lit(7)), F.lit(turn))
-    centre = postings.groupBy("key").agg(F.min(F.struct(luck.alias("luck"), "node", "n", "component", "sketch")).alias("c"), F.min("component").alias("least"), F.max("component").alias("most")).filter("least <> most").select("key", "c")
-    centre = centre.select(F.col("key").alias("ck"), F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.component").alias("cc"), F.col("c.sketch").alias("cs"))
-    near = (F.col("component") != F.col("cc")) & (5 * F.col("n") >= 4 * F.col("cn")) & (5 * F.col("cn") >= 4 * F.col("n")) & _apart("sketch", "cs", "n", "cn").isNotNull()
-    pairs = postings.join(centre, (F.col("key") == F.col("ck")) & near)  # only likely pairs leave the join
-    return pairs.select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b"), (_apart("sketch", "cs", "n", "cn") / (F.col("n") + F.col("cn"))).alias("apart")).distinct()
-
-
-def _all_pairs(postings: DataFrame) -> DataFrame:
-    """All pairs of classes under one key whose components differ."""
+    def run(batches):
+        for batch in batches:
+            node, n, odd, *lists = (batch.column(i) for i in range(6))
+            size = np.diff(lists[0].offsets.to_numpy())
+            key, place, slack = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
+            owner = np.repeat(np.arange(len(size)), size)
+            some = in_bitmap(words, key)
+            key, place, slack, owner = key[some], place[some], slack[some], owner[some]
+            order = np.lexsort((mix64(key.view(np.uint64)), owner))
+            starts = np.searchsorted(owner, np.arange(len(size)))  # owner is ascending
+            turn = np.empty(len(key), np.int64)
+            turn[order] = np.arange(len(key)) - starts[owner[order]]
+            out = [key, node.to_numpy()[owner], n.to_numpy()[owner], place, slack, odd.to_numpy()[owner], np.minimum(turn, 127).astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "node", "n", "place", "slack", "odd", "turn"])
+
+    kept = found.select("node", "n", "odd", "keys", "places", "slacks").mapInArrow(run, "key long, node long, n int, place int, slack int, odd int, turn byte")
+    postings = materialize(kept.join(shared, "key", "left_semi"), "postings")
+    release(shared)
+    return postings
+
+
+def _alike(nx: str, px: str, mx: str, ny: str, py: str, my: str):
+    """Whether sizes, places and slacks of a common key allow a similarity of 0.8."""
+    most = F.least(mx, my) + F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py)) - 1
+    return (5 * F.col(nx) >= 4 * F.col(ny)) & (5 * F.col(ny) >= 4 * F.col(nx)) & (9 * most >= 4 * (F.col(nx) + F.col(ny)))
+
+
+def _star_pairs(postings: DataFrame) -> DataFrame:
+    """Each class with the centres, of all sets there, of its first keys."""
+    first = postings.filter(F.col("turn") < STARS)
+    centre = postings.groupBy("key").agg(F.min(F.struct("odd", F.xxhash64("node").alias("luck"), "node", "n", "place", "slack")).alias("c"))
+    centre = centre.select(F.col("key").alias("ck"), F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cp"), F.col("c.slack").alias("cm"))
+    near = (F.col("key") == F.col("ck")) & (F.col("node") != F.col("cnode")) & _alike("n", "place", "slack", "cn", "cp", "cm")
+    pairs = first.join(centre, near)  # only likely pairs leave the join
+    return pairs.select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b")).distinct()
+
+
+def _all_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
+    """All pairs of classes under one key whose components differ, from the side outside the key's largest one."""
+    postings = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("turn", "odd")
+    postings = materialize(postings, "open")
     sizes = postings.groupBy("key", "component").agg(F.count("*").alias("size"))
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("m.component").alias("main"))
-    open_ = postings.join(main, "key")
-    left = open_.filter("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("component").alias("cx"), F.col("sketch").alias("sx"))
-    right = open_.select("key", F.col("node").alias("y"), F.col("n").alias("ny"), F.col("component").alias("cy"), F.col("sketch").alias("sy"), "main")
-    apart = (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & (5 * F.col("nx") >= 4 * F.col("ny")) & (5 * F.col("ny") >= 4 * F.col("nx")) & _apart("sx", "sy", "nx", "ny").isNotNull()
-    pairs = left.join(right, (left["key"] == right["key"]) & apart)
-    return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
-
-
-def link(docs: DataFrame, combine: int = COMBINE, turns: int = 3) -> DataFrame:
+    open_ = materialize(postings.join(main, "key"), "open")
+    release(postings)
+    left = open_.filter("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("slack").alias("mx"), F.col("component").alias("cx"))
+    right = open_.select(F.col("key").alias("yk"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("slack").alias("my"), F.col("component").alias("cy"), "main")
+    apart = (F.col("key") == F.col("yk")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _alike("nx", "px", "mx", "ny", "py", "my")
+    pairs = left.join(right, apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    pairs = materialize(pairs, "pairs")
+    release(open_)
+    return pairs
+
+
+def link(docs: DataFrame) -> DataFrame:
     """doc_id, text_hash (of the text), n_shingles, component_id, group (component's number; null without tokens)."""
     prepare(docs.sparkSession)
     text = F.col("text").cast("string")
@@ -258,35 +329,33 @@ def link(docs: DataFrame, combine: int = COMBINE, turns: int = 3) -> DataFrame:
     frequent, counts = _frequent(rows)
     seed = 0
     while True:
-        sets = _sets(rows, frequent, counts, combine, seed)
+        sets = _sets(rows, frequent, counts, seed)
         named = sets.filter("kind = 'doc' and n > 0").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"), F.min("doc_id").alias("least"))
         if named.filter("x <> y").isEmpty():
             break
+        release(sets)
         seed += 1  # two sets share a node: name them anew
     found = sets.filter("kind = 'class'")
-    classes = materialize(found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch")), "classes")
-    postings = found.groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys")).select("node", "n", F.explode("keys").alias("key"))
-    postings = postings.withColumn("together", F.count("*").over(Window.partitionBy("key"))).filter("together > 1").drop("together")
-    postings = materialize(postings.join(classes.select("node", "sketch"), "node"), "postings")
-
-    alone = postings.withColumn("component", F.col("node"))
-    stars = reduce(DataFrame.union, [_star_pairs(alone, turn) for turn in range(turns)]).distinct()
-    best = Window.partitionBy("b").orderBy("apart", "a")
-    likely = stars.withColumn("place", F.row_number().over(best)).filter(F.col("place") <= 3 * turns)
-    likely = materialize(likely.select("a", "b"), "pairs")
-    edges = materialize(_verified(likely, _tokens(rows, likely, seed)), "links")
-    labels = components(edges)
-    rest = materialize(_all_pairs(_with_component(postings, labels)), "pairs")
-    if not rest.isEmpty():
-        rest = materialize(_verified(rest, _tokens(rows, rest, seed)), "links")
-        if not rest.isEmpty():
-            labels = components(edges.unionByName(rest))
+    postings = _postings(found)
+    classes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = materialize(classes.join(postings.select("node"), "node", "left_semi"), "classes")
 
-    numbered = named.select("node", "least").join(labels, "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
+    edges = _links(materialize(_star_pairs(postings), "pairs"), classes, rows, seed)
+    labels = components(edges)
+    rest = _all_pairs(postings, labels)
+    release(postings)
+    more = _links(rest, classes, rows, seed)
+    if not more.isEmpty():
+        release(labels)
+        labels = components(edges.unionByName(more))
+    release(more, edges, classes)
+
+    numbered = named.select("node", "least").join(labels.select("node", "component"), "node", "left").withColumn("group", F.coalesce("component", "node")).drop("component")
     names = numbered.groupBy("group").agg(F.min("least").alias("component_id"))
     numbered = materialize(numbered.join(names, "group").select("node", "group", "component_id"), "named")
+    release(labels)
     out = sets.filter("kind = 'doc'").select("doc_id", "text_hash", "n", "node").join(numbered, "node", "left")
-    return out.select("doc_id", "text_hash", F.col("n").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
+    return out.select("doc_id", "text_hash", F.col("n").cast("long").alias("n_shingles"), F.when(F.col("n") > 0, F.col("component_id")).otherwise(F.col("doc_id")).alias("component_id"), "group")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
@@ -295,15 +364,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Documents without words are in no group and stay, a repeated row of them too.
     """
     found = materialize(link(docs).select("doc_id", "text_hash", "group"), "groups")
-    grouped = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*").withColumn("once", F.lit(True))
-    loose = found.filter("group is null").select("doc_id", "text_hash").distinct().withColumn("once", F.lit(False))
-    kept = grouped.unionByName(loose)
-    kept = kept.select(F.col("doc_id").alias("_kept_id"), F.col("text_hash").alias("_kept_hash"), F.col("once").alias("_once"))
-    rows = docs.withColumn("_hash", F.xxhash64(F.col("text").cast("string")))
-    rows = rows.join(kept, rows["doc_id"].cast("long").eqNullSafe(kept["_kept_id"]) & (rows["_hash"] == kept["_kept_hash"]))
-    first = Window.partitionBy("_kept_id", "_kept_hash").orderBy("_kept_hash")
-    rows = rows.withColumn("_place", F.row_number().over(first)).filter("_place = 1 or not _once")
-    return rows.select(*docs.columns)
+    grouped = found.filter("group is not null").groupBy("group").agg(F.min(F.struct("doc_id", "text_hash")).alias("first")).select("first.*")
+    kept = grouped.select(F.col("doc_id").alias("kept_id"), F.col("text_hash").alias("kept_hash"))
+    text = F.col("text").cast("string")
+    worded = F.coalesce(F.regexp_like(text, F.lit(r"[^\x20\x09-\x0D]")), F.lit(False))
+    rows = docs.filter(worded).select(F.struct(*docs.columns).alias("row"), F.col("doc_id").cast("long").alias("id"), F.xxhash64(text).alias("hash"))
+    rows = rows.join(kept, rows["id"].eqNullSafe(kept["kept_id"]) & (rows["hash"] == kept["kept_hash"]))
+    rows = rows.groupBy("id", "hash").agg(F.first("row").alias("row")).select("row.*")  # of repeated rows one
+    return rows.unionByName(docs.filter(~worded))
 
 
 def op8_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:

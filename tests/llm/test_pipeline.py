@@ -74,9 +74,9 @@ def test_links_equal_brute_force(spark, monkeypatch):
         if g is not None and i is not None:
             least[g] = min(least.get(g, i), i)
     want = sorted(((i if i is not None else -1, len(s), least.get(g) if g is not None else i) for (i, _), g, s in zip(rows, found, sets)), key=repr)
-    for frequent, combine in ((24, 200), (3, 60)):
+    for frequent in (24, 3):
         monkeypatch.setattr(jaccard, "FREQUENT", frequent)
-        got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard.link(docs, combine=combine).collect()), key=repr)
+        got = sorted(((r.doc_id if r.doc_id is not None else -1, r.n_shingles, r.component_id) for r in jaccard.link(docs).collect()), key=repr)
         assert got == want
     kept = jaccard.keep_one(docs).collect()
     assert len(kept) == len({g for g in found if g is not None}) + sum(g is None for g in found)
@@ -84,18 +84,31 @@ def test_links_equal_brute_force(spark, monkeypatch):
 
 
 def test_prefix_keys_meet():
+    """Two sets that link have a key that passes the filter of sizes and places, whatever is frequent."""
     rng = np.random.default_rng(2)
-    for _ in range(300):
-        n = int(rng.integers(5, 120))
+    linked = 0
+    for _ in range(1500):
+        n = int(rng.integers(4, 400))
         base = rng.integers(0, 2**63, n).astype(np.uint64)
-        other = base.copy()
-        other[: n // 9] = rng.integers(0, 2**63, n // 9).astype(np.uint64)
+        other = np.append(base[int(rng.integers(0, n // 5 + 1)) :], rng.integers(0, 2**63, int(rng.integers(0, n // 5 + 1))).astype(np.uint64))
         a, b = np.unique(base), np.unique(other)
-        often = np.sort(rng.choice(base, n // 2, replace=False))
+        often = np.sort(rng.choice(base, int(n * rng.choice([0, 0.5, 1])), replace=False))
         counts = rng.integers(24, 90, len(often))
-        if 100 * len(np.intersect1d(a, b)) >= 80 * len(np.union1d(a, b)):
-            for combine in (40, 200):
-                assert len(np.intersect1d(jaccard.index_keys(a, often, counts, combine), jaccard.index_keys(b, often, counts, combine)))
+        common = len(np.intersect1d(a, b))
+        if len(a) + len(b) > 2 * common and 100 * common >= 80 * (len(a) + len(b) - common):
+            linked += 1
+            keys = [dict(zip(k.tolist(), zip(p.tolist(), m.tolist()))) for k, p, m, _ in (jaccard.index_keys(x, often, counts) for x in (a, b))]
+            meet = [(keys[0][k], keys[1][k]) for k in keys[0].keys() & keys[1].keys()]
+            assert any(9 * (min(m, w) + min(len(a) - p, len(b) - q) - 1) >= 4 * (len(a) + len(b)) for (p, m), (q, w) in meet)
+    assert linked > 300
+
+
+def test_keys_grow_with_the_set():
+    rng = np.random.default_rng(4)
+    for n in (40, 400, 4000, 40_000):
+        tokens = np.unique(rng.integers(0, 2**63, n).astype(np.uint64))
+        keys = jaccard.index_keys(tokens, tokens, np.full(n, 30))[0]
+        assert len(keys) < 2 * n
 
 
 def test_pipeline(spark):

@@ -182,26 +182,29 @@ def _names(tokens: np.ndarray, seed: int = 0) -> tuple[int, int]:
     return int.from_bytes(raw[:8], "little", signed=True), int.from_bytes(raw[8:], "little", signed=True)
 
 
-def _tokens(rows: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
-    """node, tokens of the classes in the pairs, from their texts: a bitmap of the nodes sieves, a join decides."""
+def _tokens(rows: DataFrame, named: DataFrame, pairs: DataFrame, seed: int) -> DataFrame:
+    """node, tokens of the classes in the pairs, from one text each: a bitmap of the texts' hashes sieves, a join decides."""
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select(F.col("b").alias("node"))).distinct()
-    words = bitmap_of(wanted, "node", 24)
+    wanted = materialize(named.select("node", "text_hash").join(wanted, "node", "left_semi"), "wanted")
+    words = bitmap_of(wanted, "text_hash", 24)
 
     def run(batches):
         for batch in batches:
             out, seen = [], set()
-            for text in batch.column(0).to_pylist():
-                tokens = tokens_of(text)
-                if len(tokens):
-                    node = _names(tokens, seed)[0]
-                    if node not in seen and in_bitmap(words, np.array([node], np.int64))[0]:
-                        seen.add(node)
-                        out.append((node, tokens.view(np.int64)))
+            some = in_bitmap(words, batch.column(0).to_numpy(zero_copy_only=False))
+            for text_hash, text in zip(*(batch.filter(pa.array(some)).column(i).to_pylist() for i in range(2))):
+                if text_hash not in seen:
+                    seen.add(text_hash)
+                    tokens = tokens_of(text)
+                    if len(tokens):
+                        out.append((_names(tokens, seed)[0], tokens.view(np.int64)))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.list_(pa.int64()))], names=["node", "tokens"])
 
-    found = rows.select("text").mapInArrow(run, "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
-    return materialize(found.join(wanted, "node", "left_semi"), "tokens")
+    found = rows.select("text_hash", "text").mapInArrow(run, "node long, tokens array<long>").groupBy("node").agg(F.first("tokens").alias("tokens"))
+    tokens = materialize(found.join(wanted, "node", "left_semi"), "tokens")
+    release(wanted)
+    return tokens
 
 
 def _apart(a: str, b: str, na: str, nb: str):
@@ -231,10 +234,10 @@ def _verified(pairs: DataFrame, tokens: DataFrame) -> DataFrame:
     return pairs.filter("100 * common >= 80 * (total - common)").select("a", "b")
 
 
-def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, seed: int) -> DataFrame:
+def _links(pairs: DataFrame, classes: DataFrame, rows: DataFrame, named: DataFrame, seed: int) -> DataFrame:
     """The pairs of a table that are links; the table goes."""
     likely = materialize(_likely(pairs, classes), "likely")
-    tokens = _tokens(rows, likely, seed)
+    tokens = _tokens(rows, named, likely, seed)
     links = materialize(_verified(likely, tokens), "links")
     release(pairs, likely, tokens)
     return links
@@ -330,7 +333,7 @@ def link(docs: DataFrame) -> DataFrame:
     seed = 0
     while True:
         sets = _sets(rows, frequent, counts, seed)
-        named = sets.filter("kind = 'doc' and n > 0").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"), F.min("doc_id").alias("least"))
+        named = sets.filter("kind = 'doc' and n > 0").groupBy("node").agg(F.min("other").alias("x"), F.max("other").alias("y"), F.min("doc_id").alias("least"), F.min("text_hash").alias("text_hash"))
         if named.filter("x <> y").isEmpty():
             break
         release(sets)
@@ -340,11 +343,11 @@ def link(docs: DataFrame) -> DataFrame:
     classes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
     classes = materialize(classes.join(postings.select("node"), "node", "left_semi"), "classes")
 
-    edges = _links(materialize(_star_pairs(postings), "pairs"), classes, rows, seed)
+    edges = _links(materialize(_star_pairs(postings), "pairs"), classes, rows, named, seed)
     labels = components(edges)
     rest = _all_pairs(postings, labels)
     release(postings)
-    more = _links(rest, classes, rows, seed)
+    more = _links(rest, classes, rows, named, seed)
     if not more.isEmpty():
         release(labels)
         labels = components(edges.unionByName(more))

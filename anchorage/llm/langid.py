@@ -11,30 +11,41 @@ its size grows with the distinct 4-grams of the training text:
 The models of all languages share one sorted array of hashed grams for each order (with an index by
 leading bits) and a matrix of log probabilities; a gram that no model has falls back with the
 weights of its context. The language with the lowest mean cross-entropy wins. Its score is the
-softmax of the evidence; a text is rejected if it has no letter, or if its cross-entropy lies above
-``reject`` standard deviations (and ``REJECT_BITS``) over the mean of training texts of that language (both are taken from
-at most ``calibration`` rows a language), for texts of at least ``least`` predicted characters.
-
-Cases: null text and text without a letter is 'und', score 0, rejected; without training rows all
-texts are 'und'; ties go to the first language in order; repeated rows are predicted alike; null
-doc_ids are kept; other columns are ignored.
+softmax of the evidence.
+
+A text is rejected if it has no letter, or if its cross-entropy is too high for its language and
+length. The limit is calibrated on texts that the model has not seen: a tenth of the training texts
+(by their hash, copies together) is scored by models of the other nine tenths, and gives the mean of a
+language's cross-entropies, their variance between texts and that between the characters of a text,
+texts weighted by their length.
+By Cantelli's inequality no distribution has more than a share ``alpha`` of its texts above mean +
+sqrt(1 / alpha - 1) standard deviations; for n characters the variance is between + within / n, so a
+short text needs more evidence. Languages of few such texts take the limit of all languages together.
+
+Cases: null text and text without a letter is 'und', score 0, rejected (a number sign such as 1/2 or a
+Roman numeral sign is no letter); without training rows all texts are 'und'; without texts to
+calibrate on only texts without a letter are rejected; ties go to the first language in order;
+repeated rows are predicted alike; null doc_ids are kept; other columns are ignored.
 """
 
 from __future__ import annotations
 
 import math
 import re
+import sys
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import crc_mod, mix64, prepare
 
-ORDER, CALIBRATION, DISCOUNT, REJECT, REJECT_BITS, LEAST = 4, 1_000, 0.75, 12.0, 2.0, 40
-_OTHER = re.compile(r"[\W\d_]+")
+ORDER, DISCOUNT, FOLDS, ALPHA, FEW = 4, 0.75, 10, 0.005, 20
+# what Python's word class holds beside letters: digits and other number signs
+_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_OTHER = re.compile(rf"[\W_{_NUMBERS}]+")
 _BLANK = np.uint64(32)
 
 
@@ -58,24 +69,29 @@ def _sum_by(keys: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return keys[first], np.add.reduceat(counts, first) if len(first) else counts
 
 
+def _back():
+    """Whether a text is one to calibrate on."""
+    return F.pmod(F.xxhash64("text"), F.lit(FOLDS)) == 0
+
+
 def count_grams(rows: DataFrame) -> DataFrame:
-    """lang, gram, n over all rows of (text, lang)."""
-    schema = pa.schema([("lang", pa.string()), ("gram", pa.int64()), ("n", pa.int64())])
+    """lang, gram, n over all rows of (text, lang); rest: n without the texts to calibrate on."""
+    schema = pa.schema([("lang", pa.string()), ("back", pa.bool_()), ("gram", pa.int64()), ("n", pa.int64())])
 
     def emit(held):
-        for lang, (keys, counts) in held.items():
+        for (lang, back), (keys, counts) in held.items():
             for k in range(0, len(keys), 100_000):
                 part = keys[k : k + 100_000].view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array(part), pa.array(counts[k : k + 100_000])], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part)), pa.array([back] * len(part)), pa.array(part), pa.array(counts[k : k + 100_000])], schema=schema)
 
     def run(batches):
-        held: dict[str, tuple[np.ndarray, np.ndarray]] = {}
+        held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
         for batch in batches:
-            by: dict[str, list[np.ndarray]] = {}
-            for text, lang in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            by: dict[tuple[str, bool], list[np.ndarray]] = {}
+            for text, lang, back in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = symbols(text)
                 if len(s):
-                    by.setdefault(lang, []).append(grams(s))
+                    by.setdefault((lang, back), []).append(grams(s))
             for lang, parts in by.items():
                 keys, counts = np.unique(np.concatenate(parts), return_counts=True)
                 if lang in held:
@@ -86,8 +102,8 @@ def count_grams(rows: DataFrame) -> DataFrame:
                 held.clear()
         yield from emit(held)
 
-    found = rows.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, gram long, n long")
-    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
+    found = rows.filter("text is not null and lang is not null").select("text", "lang", _back().alias("back")).mapInArrow(run, "lang string, back boolean, gram long, n long")
+    return found.groupBy("lang", "gram").agg(F.sum("n").alias("n"), F.sum(F.when(~F.col("back"), F.col("n")).otherwise(0)).alias("rest"))
 
 
 class _Table:
@@ -167,11 +183,11 @@ class Models:
             self.context.append(ctx)
             self.weight.append(np.log2(weight[ctx.order]).astype(np.float32))
 
-    def entropies(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """Bits for each text and language, and the number of characters predicted (0: no letter)."""
+    def entropies(self, texts: list[str], squares: bool = False) -> tuple[np.ndarray, ...]:
+        """Bits for each text and language, and the number of characters predicted (0: no letter); the sums of squared bits."""
         parts = [symbols(t) if t else np.zeros(0, np.uint64) for t in texts]
         sizes = np.array([max(0, len(p) - 3) for p in parts], np.int64)
-        out = np.zeros((len(texts), len(self.langs)))
+        out, more = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs)))
         full = np.flatnonzero(sizes)
         if len(full) and self.langs:
             keys = np.concatenate([grams(parts[i]) for i in full])
@@ -190,42 +206,70 @@ class Models:
                 seen = at >= 0
                 total[left[seen]] += self.weight[m][at[seen]]
             total[left] += np.float32(self.floor)
-            out[full] = -np.add.reduceat(total.astype(np.float64), np.r_[0, ends[:-1]], axis=0)
-        return out, sizes
+            total, starts = total.astype(np.float64), np.r_[0, ends[:-1]]
+            out[full] = -np.add.reduceat(total, starts, axis=0)
+            if squares:
+                more[full] = np.add.reduceat(total * total, starts, axis=0)
+        return (out, sizes, more) if squares else (out, sizes)
+
 
+def _limits(docs: DataFrame, models: Models, alpha: float) -> dict:
+    """For each language of the models (mean, variance between texts, variance within), the factor applied."""
 
-def fit(docs: DataFrame, calibration: int = CALIBRATION, reject: float = REJECT) -> dict:
-    """Models and rejection limits from the rows of (doc_id, text, lang) given.
+    def run(batches):
+        for batch in batches:
+            sums: dict[str, np.ndarray] = {}
+            texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
+            bits, size, squares = models.entropies(texts, squares=True)
+            for i, lang in enumerate(langs):
+                if size[i] and lang in models.langs:
+                    l = models.langs.index(lang)
+                    mean = bits[i, l] / size[i]
+                    within = max(0.0, squares[i, l] / size[i] - mean * mean)
+                    sums[lang] = sums.get(lang, 0) + np.array([1, size[i], size[i] * mean, size[i] * mean * mean, size[i] * within])
+            yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.string()), *(pa.array([v[k] for v in sums.values()], pa.float64()) for k in range(5))], names=["lang", *"kncqw"])
+
+    fold = docs.filter("text is not null and lang is not null").filter(_back()).select("text", "lang")
+    found = fold.mapInArrow(run, "lang string, k double, n double, c double, q double, w double").groupBy("lang").agg(*(F.sum(c).alias(c) for c in "kncqw"))
+    sums = {r["lang"]: np.array([r[c] for c in "kncqw"]) for r in found.collect()}  # a row a language
+    if not sums:
+        return {}
+    together = sum(sums.values())
+    limits = {}
+    for lang in models.langs:
+        _, n, c, q, w = (sums[lang] if lang in sums and sums[lang][0] >= FEW else together).tolist()
+        limits[lang] = (c / n, max(0.0, q / n - (c / n) ** 2), w / n, math.sqrt(1 / alpha - 1))
+    return limits
 
-    What comes to the driver is the distinct grams and two numbers for each language.
+
+def fit(docs: DataFrame, alpha: float = ALPHA) -> dict:
+    """Models and rejection limits from the rows of (text, lang) given.
+
+    What comes to the driver is the distinct grams and five sums for each language.
     """
     prepare(docs.sparkSession)
     kept = count_grams(docs).toArrow()
     langs = kept.column("lang")
-    keys, n = kept.column("gram").to_numpy().astype(np.int64).view(np.uint64), kept.column("n").to_numpy()
-    counts = {}
-    for lang in sorted(langs.unique().to_pylist()):
-        own = pc.equal(langs, lang).to_numpy()
-        order = np.argsort(keys[own])
-        counts[lang] = (keys[own][order], n[own][order])
-    models = Models(counts)
-    limits = {}
-    if counts:
-        place = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id"))
-        ids = docs.filter("text is not null and lang is not null").select("doc_id", "lang").withColumn("place", place).filter(F.col("place") <= calibration).select("doc_id").distinct()
-        sample = docs.join(F.broadcast(ids), "doc_id", "left_semi")  # at most `calibration` ids a language
+    keys = kept.column("gram").to_numpy().astype(np.int64).view(np.uint64)
+
+    def models(column: str) -> Models:
+        counts, n = {}, kept.column(column).to_numpy()
+        for lang in sorted(langs.unique().to_pylist()):
+            own = np.flatnonzero(pc.equal(langs, lang).to_numpy() & (n > 0))
+            if len(own):
+                own = own[np.argsort(keys[own])]
+                counts[lang] = (keys[own], n[own])
+        return Models(counts)
+
+    return {"models": models("n"), "limits": _limits(docs, models("rest"), alpha)}
 
-        def run(batches):
-            for batch in batches:
-                texts, langs = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-                bits, size = models.entropies(texts)
-                rows = [(lang, bits[i, models.langs.index(lang)] / size[i]) for i, lang in enumerate(langs) if size[i] >= LEAST]
-                yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.string()), pa.array([r[1] for r in rows], pa.float64())], names=["lang", "bits"])
 
-        found = sample.filter("text is not null and lang is not null").select("text", "lang").mapInArrow(run, "lang string, bits double")
-        for row in found.groupBy("lang").agg(F.avg("bits").alias("mean"), F.stddev_pop("bits").alias("sd")).collect():
-            limits[row["lang"]] = row["mean"] + max(reject * row["sd"], REJECT_BITS)
-    return {"models": models, "limits": limits}
+def too_high(limit: tuple | None, mean: float, n: int) -> bool:
+    """Whether a mean cross-entropy over n characters lies above the limit."""
+    if limit is None:
+        return False
+    usual, between, within, factor = limit
+    return mean > usual + factor * math.sqrt(between + within / n)
 
 
 _PREDICTED = "doc_id long, lang_pred string, score double, bits double, rejected boolean"
@@ -250,8 +294,7 @@ def predict(docs: DataFrame, model: dict, keep: str | None = None) -> DataFrame:
                 best = int(np.argmin(bits[i]))
                 gap = np.minimum(bits[i] - bits[i, best], 700)
                 mean = float(bits[i, best] / n)
-                limit = limits.get(models.langs[best])
-                yield models.langs[best], float(1 / np.exp2(-gap).sum()), mean, bool(limit is not None and n >= LEAST and mean > limit)
+                yield models.langs[best], float(1 / np.exp2(-gap).sum()), mean, too_high(limits.get(models.langs[best]), mean, n)
 
     if keep:
 

@@ -7,9 +7,13 @@ unless it stands inside an exception phrase ('trash can'). The weights' sum and
 text's length go into a logistic score.
 
 Weights are learned from at most ``sample`` labelled rows (a documented bound: the labels with the
-least hashes): the lower confidence bound of the log odds between toxic and clean documents. A small
+least hashes): the lower confidence bound of the log odds between toxic and clean documents; every term
+whose bound passes is an entry. A small
 lexicon of plain insults stands in where there is too little to learn from.
 
+Matching and suppression take time in proportion to the text and its matches, so very long texts are
+scored whole.
+
 Cases: null, empty and letterless texts score as a text without a hit; unlabelled tables leave the
 plain lexicon; several labels of one document count as several rows; repeated rows score alike; null
 doc_ids are kept; other columns are ignored.
@@ -28,7 +32,7 @@ from pyspark.sql import functions as F
 
 from .common import crc_mod, materialize, prepare
 
-SAMPLE, STEMS, ENTRIES, THRESHOLD, LEAST_WEIGHT = 12_000, (4, 5, 6), 3_000, 0.3, 0.5
+SAMPLE, STEMS, THRESHOLD, LEAST_WEIGHT = 12_000, (4, 5, 6), 0.3, 0.5
 
 # Plain insults, phrases in which such a word is harmless, look-alikes.
 PLAIN = "idiot stupid moron loser trash scum pathetic disgusting worthless clown imbecile dumbass retard bastard asshole bitch".split()
@@ -75,7 +79,16 @@ class Matcher:
                 free.append((start, end))
             elif weight > best.get(start, 0.0):
                 best[start] = weight
-        return [(s, w) for s, w in best.items() if not any(a <= s < b for a, b in free)]
+        # one sweep over both, in the order of their starts
+        out, reach, at = [], 0, 0
+        free.sort()
+        for start in sorted(best):
+            while at < len(free) and free[at][0] <= start:
+                reach = max(reach, free[at][1])
+                at += 1
+            if start >= reach:
+                out.append((start, best[start]))
+        return out
 
     def features(self, text: str | None) -> tuple[float, float, int]:
         """Sum of weights, the same for each hundred words, and hits."""
@@ -132,12 +145,12 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> dict:
     weights = [-3.0, 1.2, 0.8]
     if nt and nc:
         toxic, clean = rows.filter("toxic = 1"), rows.filter("toxic = 0")
-        # only what might pass with no clean document at all comes to the driver, the most frequent first
+        # of the sample's terms those that might pass with no clean document at all come to the driver
         least = next((t for t in range(2, nt + 1) if _weight(t, 0, nt, nc) > LEAST_WEIGHT), nt + 1)
-        often = {r["term"]: r["n"] for r in _count(toxic, None).filter(F.col("n") >= least).orderBy(F.desc("n"), "term").limit(50 * ENTRIES).collect()}
+        often = {r["term"]: r["n"] for r in _count(toxic, None).filter(F.col("n") >= least).collect()}
         other = {r["term"]: r["n"] for r in _count(clean, frozenset(often)).collect()} if often else {}
-        scored = sorted(((_weight(t, other.get(term, 0), nt, nc), term) for term, t in often.items()), reverse=True)
-        entries = {e: w for e, w in entries.items() if other.get(e, 0) <= 0.01 * nc} | {term: w for w, term in scored[:ENTRIES] if w > LEAST_WEIGHT}
+        scored = {term: _weight(t, other.get(term, 0), nt, nc) for term, t in often.items()}
+        entries = {e: w for e, w in entries.items() if other.get(e, 0) <= 0.01 * nc} | {term: w for term, w in scored.items() if w > LEAST_WEIGHT}
         matcher = (entries,)
 
         def run(batches):

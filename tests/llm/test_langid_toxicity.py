@@ -1,6 +1,8 @@
 """Language identification and toxicity: models against plain restatements, held-out accuracy, edge cases."""
 
 import math
+import random
+import time
 from collections import Counter, defaultdict
 
 import numpy as np
@@ -70,6 +72,40 @@ def test_langid_edges(spark):
     assert {r.lang_pred for r in langid.predict(docs, empty).collect()} == {"und"}
 
 
+def test_numbers_are_no_letters():
+    for text in ("½ ¼", "²³", "Ⅷ", "①②", "٣", "12", "_", ""):
+        assert not len(langid.symbols(text))
+    assert len(langid.symbols("Ⅷa"))
+
+
+def test_rejection_limit(spark):
+    """Held-out documents stay; texts unlike every language learned go, however the fold falls."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    model = langid.fit(langid.training(docs))
+    assert all(len(v) == 4 and 1 < v[0] < 4 for v in model["limits"].values())
+    rng = random.Random(5)
+    junk = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz ", k=400)), "".join(rng.choices("бвгдежзиклмн ", k=300)), "zxcv qwpx " * 30, " ".join("".join(rng.choices("bcdfghjklmnpqrstvwxz", k=9)) for _ in range(40)), "sphinx quartz judge my vow " * 10]
+    found = langid.predict(spark.createDataFrame(list(enumerate(junk)), "doc_id long, text string"), model).collect()
+    assert all(r.rejected and r.lang_pred != "und" for r in found)
+    short = langid.predict(spark.createDataFrame([(1, "Zq."), (2, "Hm")], "doc_id long, text string"), model).collect()
+    assert not any(r.rejected for r in short)  # too short to tell
+    kept = langid.predict(docs, model, keep="text").count()
+    assert kept == docs.count() - sum(not len(langid.symbols(r.text or "")) for r in docs.collect())
+
+
+def test_limits_by_definition(spark):
+    rows = [(i, f"{w} the cat and {w} dog {i} sat on mats", "en") for i, w in enumerate(["red", "blue", "green", "odd", "large"] * 40)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)
+    fold = {r.text for r in docs.filter(langid._back()).collect()}
+    grams = lambda texts: np.unique(np.concatenate([langid.grams(langid.symbols(t)) for t in texts]), return_counts=True)
+    rest = langid.Models({"en": grams([t for _, t, _ in rows if t not in fold])})
+    bits, size = rest.entropies([t for _, t, _ in rows if t in fold])
+    mean, between, within, factor = langid.fit(docs, alpha=0.1)["limits"]["en"]
+    h = bits[:, 0] / size
+    assert len(bits) >= 5 and mean == pytest.approx(np.average(h, weights=size)) and factor == 3.0
+    assert within > 0 and between == pytest.approx(np.average((h - mean) ** 2, weights=size), abs=1e-9)
+
+
 def test_toxicity_held_out(spark):
     sf = "/root/testdata/sf0.1"
     labels = spark.read.parquet(f"{sf}/labels.parquet")
@@ -89,6 +125,42 @@ def test_folding_and_exceptions():
     assert m.features(None) == (0, 0.0, 0)
 
 
+def _plain_spans(entries, exceptions, folded):
+    """The words that count, by looking for each entry and phrase at each place."""
+    best, free = {}, []
+    for start in range(len(folded)):
+        for entry, weight in entries.items():
+            if folded.startswith(entry, start):
+                best[start] = max(best.get(start, 0.0), weight)
+        free += [(start, start + len(p) + 1) for p in exceptions if folded.startswith(f" {p} ", start)]
+    return sorted((s, w) for s, w in best.items() if w > 0 and not any(a <= s < b for a, b in free))
+
+
+def test_matches_equal_naive_search():
+    rng = random.Random(6)
+    entries = {" trash ": 2.0, " idio": 3.0, " idiot ": 1.0, " can ": 0.5, " clown ": 2.5, " sc": 0.7, " scum ": 4.0}
+    m = toxicity.Matcher(entries)
+    bits = [*"trash can bin idiot idiots clown fish circus scum pond line the".split(), "1d10t", "$cum", "trаsh", "c4n", "village", "ball", "proof"]
+    for _ in range(800):
+        folded = toxicity.fold(" ".join(rng.choice(bits) for _ in range(rng.randint(0, 25))))
+        assert m.spans(folded) == _plain_spans(entries, toxicity.EXCEPTIONS, folded)
+
+
+def test_every_entry_above_the_weight_is_kept(spark):
+    words = ["".join(chr(97 + (k // 26**i) % 26) for i in range(3)) for k in range(4000)]
+    docs = spark.createDataFrame([(i, " ".join(words)) for i in range(60)] + [(100 + i, "calm plain prose") for i in range(300)], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in range(60)] + [(100 + i, 0) for i in range(300)], "doc_id long, toxic int")
+    entries = toxicity.fit(docs, labels)["entries"]
+    assert all(f" {w} " in entries for w in words)
+
+
+def test_long_texts_take_linear_time():
+    m = toxicity.Matcher({" idiot ": 1.0, " trash ": 1.0})
+    began = time.perf_counter()
+    assert m.features("trash can idiot " * 60_000)[2] == 60_000
+    assert time.perf_counter() - began < 10  # 900,000 words; quadratic suppression took minutes
+
+
 def test_toxicity_edges(spark):
     docs = spark.createDataFrame([(i, t, 1.0) for i, t in enumerate(EDGES)] + [(None, "you idiot", 2.0)], "doc_id long, text string, score double").repartition(2)
     labels = spark.createDataFrame([(0, 1), (1, 0), (1, 0), (6, None), (None, 1)], "doc_id long, toxic int")

@@ -1,16 +1,22 @@
 """Operator 9 - SentencePiece encoding and decoding as a weighted finite-state transducer.
 
-The machine composes, for one input, the normaliser (dummy prefix, blanks to the piece mark), the
-pieces (an arc for each stretch of the input that is a piece) and byte fallback (an arc of byte
-pieces for a character that is none). In the tropical semiring an arc weighs its piece's negative
-score, and the vocabulary being one of merges, a state remembers the piece that led to it: an arc
-whose piece could not stand behind that piece - merging the two pieces' text alone would not give
-these two pieces - weighs infinity. Of the finite paths exactly one is left for every prefix, and
-the shortest path is found from left to right with one state a position.
-
-No piece spans two words or a pair of characters that stands in no piece, so the input is cut there
-before composition and a stretch's path is kept for the next time. Stretches of several blanks,
-whose merges all weigh the same, are merged in the order of the scores instead.
+Three machines are compiled from the vocabulary file:
+
+- the normaliser, one state behind its start: the dummy prefix (nothing to a mark, at the start), blank
+  to mark, every other character to itself;
+- the pieces: an arc for each piece, which reads its characters, writes its id and weighs its negative
+  score, and an arc for each whole run of marks, which writes the run's pieces;
+- byte fallback: the only arc of a character that is no piece, which writes the ids of its bytes.
+
+The vocabulary being one of merges, a fourth machine without output weighs pairs of neighbouring pieces:
+zero where merging the two pieces' text alone gives these two pieces, infinity elsewhere; its state is
+the last piece. Composed with an input the machines are a lattice whose states are (place, last
+piece), and the weights of a path add up. The shortest path in the tropical semiring (minimum over
+paths, sum along a path) is found from left to right by relaxing all arcs into a place; as all but one
+of the last pieces have no finite path, a place keeps one state, the last piece of its shortest path.
+
+No piece spans two words or a pair of characters that stands in no piece, so an input is cut there
+before composition, and a stretch's path is kept for the next time.
 
 Decoding is the inverse machine: piece texts in a row, byte pieces as UTF-8, marks to blanks, the
 dummy prefix taken off.
@@ -24,6 +30,7 @@ to their length.
 from __future__ import annotations
 
 import heapq
+import math
 import re
 
 import numpy as np
@@ -35,33 +42,38 @@ from .common import prepare
 
 MARK = "▁"
 _PUNCTUATION = "".join(c for c in map(chr, range(33, 127)) if not c.isalnum())
-_RUNS = re.compile(r" *[^ ]+| +")
+_STRETCHES = re.compile(f"{MARK}*[^{MARK}]+|{MARK}+")
+_NORMAL = str.maketrans({" ": MARK})  # the normaliser's arcs that change a character
 
 
 class Transducer(dict):
     """Maps a stretch of normalised text to its ids as '<u4' bytes; missing ones are composed and searched."""
 
     def __init__(self, path: str, keep: int = 300_000):
+        import ahocorasick
         import sentencepiece
 
         super().__init__()
         model = sentencepiece.SentencePieceProcessor(model_file=path)
         if model.decode(model.encode(" a  ﬁ ")) != " a  ﬁ ":
-            raise ValueError("the model's normaliser is not the identity")
+            raise ValueError("the model's normaliser does more than prefix and marks")
         n = model.get_piece_size()
         plain = [i for i in range(n) if not (model.is_byte(i) or model.is_control(i) or model.is_unknown(i) or model.is_unused(i))]
         self.ids = {model.id_to_piece(i): i for i in plain}
         self.scores = {model.id_to_piece(i): model.get_score(i) for i in plain}
         self.bytes = {int(model.id_to_piece(i)[3:5], 16): i for i in range(n) if model.is_byte(i)}
-        # lengths of the pieces that end in three characters, the longest first: the arcs into a state
-        lengths: dict[str, set[int]] = {}
-        for p in self.ids:
-            if len(p) > 2:
-                lengths.setdefault(p[-3:], set()).add(len(p))
-        self.lengths = {end: sorted(own, reverse=True) for end, own in lengths.items()}
         self.pairs = {p[k : k + 2] for p in self.ids for k in range(len(p) - 1)}
+        if any(MARK * 2 in p and p.strip(MARK) for p in self.ids):
+            raise ValueError("a piece joins a run of marks and other characters")
         self.keep, self.units = keep, _Units(self)
-        self.valid: dict[str, dict[str, bool]] = {p: {} for p in self.ids}  # piece -> piece before it -> may follow
+        # an arc: its length, its weight, its piece, and whether it may stand behind a piece, filled as pairs are met
+        self.arcs = {p: (len(p), -score, p, {"": True}) for p, score in self.scores.items()}
+        self.reader = ahocorasick.Automaton()  # reads a text and gives the arcs into each of its places
+        for p, arc in self.arcs.items():
+            self.reader.add_word(p, arc)
+        self.reader.make_automaton()
+        self.known = frozenset(p for p in self.arcs if len(p) == 1)
+        self.runs: dict[int, list[str]] = {}
         self.texts = {i: p.encode() for p, i in self.ids.items()} | {i: bytes([b]) for b, i in self.bytes.items()}
 
     # ---- pieces of a stretch
@@ -93,37 +105,45 @@ class Transducer(dict):
         return [p for p in parts if p is not None]
 
     def follows(self, first: str, second: str) -> bool:
-        """Whether the second piece may stand behind the first: the arc's weight is finite."""
-        own = self.valid[second]
+        """Whether the second piece may stand behind the first: the pair weighs zero, not infinity."""
+        own = self.arcs[second][3]
         if first not in own:
             own[first] = self.merge(first + second) == [first, second]
         return own[first]
 
+    def run(self, n: int) -> list[str]:
+        """The pieces of the arc for a run of n marks."""
+        if n not in self.runs:
+            self.runs[n] = self.merge(MARK * n)
+        return self.runs[n]
+
     def path(self, text: str) -> list[str]:
         """The shortest path's pieces; a character that is no piece stands for its bytes."""
-        if text.startswith(MARK * 2):
-            return self.merge(text)
-        valid, lengths, last = self.valid, self.lengths, [""] * (len(text) + 1)
-        last[1] = text[0]
-        for end in range(2, len(text) + 1):
-            for size in (*lengths.get(text[end - 3 : end], ()), 2) if end > 2 else (2,):  # of all arcs into a state one is finite
-                if size <= end:
-                    piece = text[end - size : end]
-                    own = valid.get(piece)
-                    if own is not None:
-                        if size == end:
-                            break
-                        first = last[end - size]
-                        known = own.get(first)
-                        if known or (known is None and self.follows(first, piece)):
-                            break
-            else:
-                piece = text[end - 1]
-            last[end] = piece
-        out, end = [], len(text)
+        if not self.known.issuperset(text):  # no arc but its fallback crosses such a character
+            at = next(k for k, c in enumerate(text) if c not in self.known)
+            return [*(self.path(text[:at]) if at else ()), text[at], *(self.path(text[at + 1 :]) if at + 1 < len(text) else ())]
+        size, marks = len(text), 0
+        dist, last, back = [math.inf] * (size + 1), [""] * (size + 1), [0] * (size + 1)
+        dist[0] = 0.0
+        if text.startswith(MARK * 2):  # a run is read by its own arcs: the whole of it, or all but the mark that the word may take
+            marks = size - len(text.lstrip(MARK))
+            for n in (marks - 1, marks):
+                dist[n], last[n] = sum(self.arcs[p][1] for p in self.run(n)), self.run(n)[-1]
+            dist[0] = math.inf
+        for place, (n, weight, piece, behind) in self.reader.iter(text):
+            place += 1
+            total = dist[place - n] + weight
+            if total < dist[place] and place > marks:
+                first = last[place - n]
+                valid = behind.get(first)
+                if valid or (valid is None and self.follows(first, piece)):
+                    dist[place], last[place], back[place] = total, piece, place - n
+        out, end = [], size
         while end:
+            if end <= marks:
+                return self.run(end) + out[::-1]
             out.append(last[end])
-            end -= len(last[end])
+            end = back[end]
         return out[::-1]
 
     def __missing__(self, stretch: str) -> bytes:
@@ -145,10 +165,10 @@ class Transducer(dict):
         """All ids of a whole text."""
         if not text:
             return b""
-        text = text.replace(MARK, " ")
-        if "  " not in text and text[0] != " " and text[-1] != " ":
-            return b"".join(map(self.__getitem__, text.split(" ")))
-        return b"".join([self[run.replace(" ", MARK)] for run in _RUNS.findall(" " + text)])
+        normal = MARK + text.translate(_NORMAL)
+        if MARK * 2 not in normal and normal[-1] != MARK:
+            return b"".join(map(self.__getitem__, normal[1:].split(MARK)))
+        return b"".join(map(self.__getitem__, _STRETCHES.findall(normal)))
 
     def decode(self, ids: bytes) -> str:
         raw = b"".join(map(self.texts.__getitem__, np.frombuffer(ids, "<u4").tolist()))

@@ -42,3 +42,40 @@ def test_edges(spark):
     got = pieces.encode_decode(docs, PATH).collect()
     assert len(got) == 6 and sorted(r.decoded for r in got)[:2] == ["", ""] and {r.n_ids for r in got if r.doc_id in (1, 2)} == {0}
     assert pieces.encode_decode(docs.filter("false"), PATH).count() == 0
+
+
+def _lattice(machine, text):
+    """The least weight of all paths through (place, last piece), by relaxing every arc from every state."""
+    states = [{} for _ in range(len(text) + 1)]
+    states[0][""] = (0.0, [])
+    for end in range(1, len(text) + 1):
+        for at in range(end):
+            piece = text[at:end]
+            for first, (weight, path) in states[at].items():
+                if piece in machine.ids:
+                    if first and machine.merge(first + piece) != [first, piece]:
+                        continue
+                    own = -machine.scores[piece]
+                elif len(piece) == 1:
+                    own = 0.0  # the only arc that crosses this character
+                else:
+                    continue
+                if weight + own < states[end].get(piece, (np.inf,))[0]:
+                    states[end][piece] = (weight + own, [*path, piece])
+    return min(states[-1].values())[1]
+
+
+def test_path_is_the_shortest_of_the_lattice():
+    machine, rng = pieces.Transducer(PATH), random.Random(9)
+    texts = ["▁unbelievable", "▁tokenization", "▁日本語", "▁straße", "▁x€y"] + ["▁" + "".join(rng.choices("abcdeiostnr", k=rng.randint(1, 14))) for _ in range(200)]
+    for text in texts:
+        assert machine.path(text) == _lattice(machine, text)
+
+
+def test_runs_of_blanks(library):
+    machine = pieces.Transducer(PATH)
+    for n in [*range(0, 70), 200]:
+        for tail in ("", "the", "x", "日", "...", "🙂", "\t", "1"):
+            for head in ("", "a", "."):
+                text = head + " " * n + tail
+                assert np.frombuffer(machine.encode(text), "<u4").tolist() == library.encode(text), (n, head, tail)

@@ -12,9 +12,13 @@ A control string inside a role or text gets a backslash behind its first charact
 backslashes there already gets one more; taking one away restores the text. So no control string of
 the output stems from a text.
 
-Turns reach the encoder in one sorted stream for each partition. A conversation is cut into
-segments at turn ends once it passes ``segment_chars``, so that one with any number of turns needs
-the memory of one segment; readers take segments up in the same way.
+Turns reach the encoder in one sorted stream for each partition. Once a conversation passes
+``segment_chars``, the encoder is fed and its rows written in segments, cut behind ``<|turn`` of the
+next turn. There a letter meets a sign, which the tokenizer's own splitting always parts (tested when
+it is loaded; a tokenizer that does not is fed whole conversations), so ids and offsets are those of
+one encoding of the whole text, and one conversation with any number of turns needs the memory of one
+segment. Readers take segments up in the same way: a conversation's digests run over all its turns,
+which is one stream by their definition.
 
 Cases: null text and null role are empty; turns sort by turn (nulls first), role, text, so repeated
 turns stand side by side; a null conv_id is a conversation of its own; an empty table gives no rows;
@@ -38,7 +42,8 @@ START, TURN, TEXT, END = "<s>", "<|turn|>", "<|text|>", "</s>"
 _TAILS = r"s>|/s>|\|[a-z_]+\|>|/?INST\]|</?SYS>>"
 _ESCAPE = re.compile(rf"([<\[])(\\*)(?=(?:{_TAILS}))")
 _RESTORE = re.compile(rf"([<\[])\\(\\*)(?=(?:{_TAILS}))")
-_TURNS = re.compile(r"<\|turn\|>(.*?)<\|text\|>(.*?)</s>", re.DOTALL)
+_HEAD = TURN[:-2]  # the part of a turn's first string that ends a segment
+_TURNS = re.compile(r"(?:<\|turn|\A)\|>(.*?)<\|text\|>(.*?)</s>", re.DOTALL)
 LEARN, SEGMENT_CHARS = "assistant", 1_000_000
 
 
@@ -66,6 +71,18 @@ def loss_mask(starts: np.ndarray, ends: np.ndarray, spans: np.ndarray) -> tuple[
     return mask, np.c_[low[at], np.maximum.reduceat(high, at)]
 
 
+def parts_behind_head(tokenizer) -> bool:
+    """Whether the tokenizer always splits behind ``<|turn``, so that the rest may be encoded by itself."""
+    if tokenizer.normalizer is not None or tokenizer.pre_tokenizer is None:
+        return False
+    for before in ("", "a", ">", " ", "9", "é", "\n"):
+        for role in ("user", "", " ", "<", "9", "'s"):
+            whole = tokenizer.pre_tokenizer.pre_tokenize_str(f"{before}{TURN}{role}{TEXT}")
+            if len(before) + len(_HEAD) not in {end for _, (_, end) in whole}:
+                return False
+    return True
+
+
 _SEGMENTS = "conv_id long, segment int, text string, ids array<int>, mask binary, loss array<long>"
 
 
@@ -80,6 +97,7 @@ def format_chats(turns: DataFrame, tokenizer_path: str, learn: str = LEARN, segm
         tokenizer = Tokenizer.from_file(tokenizer_path)
         tokenizer.encode_special_tokens = True
         tokenizer.post_processor = processors.ByteLevel(trim_offsets=False)
+        most = segment_chars if parts_behind_head(tokenizer) else float("inf")
         rows, parts, spans, size, current, segment = [], [], [], 0, None, 0
 
         def close():
@@ -105,12 +123,14 @@ def format_chats(turns: DataFrame, tokenizer_path: str, learn: str = LEARN, segm
                     current, segment, size = (conv,), 0, len(START)
                     parts.append(START)
                 head, body = f"{TURN}{escape(role or '')}{TEXT}", escape(text or "")
+                if size >= most:
+                    parts.append(_HEAD)
+                    close()
+                    head = head[len(_HEAD) :]
                 if role == learn and body:
                     spans.append((size + len(head), size + len(head) + len(body)))
                 parts += (head, body, END)
                 size += len(head) + len(body) + len(END)
-                if size >= segment_chars:
-                    close()
                 if len(rows) >= 200:
                     yield flush()
         if parts:

@@ -82,3 +82,29 @@ def test_chats(spark):
         assert (r.loss_chars, r.loss_sha256) == (len(loss), hashlib.sha256(loss.encode()).hexdigest())
         assert r.formatted_chars > len(loss) and r.loss_tokens <= r.n_tokens
     assert chat.read_chats(chat.format_chats(turns.filter("false"), public_tokenizers.path("byte_bpe_50k.json"))).count() == 0
+
+
+def test_segments_are_one_encoding(spark):
+    rng = random.Random(12)
+    bits = ["don't", "é", "日本", " ", "\n", ">", "<|", "12", "turn", "'s", "  x", "🙂", "|>"]
+    turns = [(c, i, rng.choice(["user", "assistant", "", "'s", "9"]), "".join(rng.choices(bits, k=rng.randint(0, 12)))) for c in range(12) for i in range(rng.randint(1, 30))]
+    table = spark.createDataFrame(turns, "conv_id long, turn long, role string, text string")
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    whole = {r.conv_id: r for r in chat.format_chats(table, path).collect()}
+    cut = chat.format_chats(table, path, segment_chars=60).orderBy("conv_id", "segment").collect()
+    assert len(whole) == 12 and len(cut) > 60
+    for conv, r in whole.items():
+        own = [x for x in cut if x.conv_id == conv]
+        assert "".join(x.text for x in own) == r.text
+        assert [i for x in own for i in x.ids] == r.ids and b"".join(x.mask for x in own) == r.mask
+    read = lambda df: sorted(chat.read_chats(df).collect())
+    assert read(chat.format_chats(table, path)) == read(chat.format_chats(table, path, segment_chars=60))
+
+
+def test_safe_boundary():
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+    assert chat.parts_behind_head(tokenizer)
+    tokenizer.pre_tokenizer = None
+    assert not chat.parts_behind_head(tokenizer)

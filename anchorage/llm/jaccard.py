@@ -21,7 +21,10 @@ What is asked for is components, and so within a component no further link is ne
 
 A pair leaves the join of a key only if sizes and places of the key's first token in both sets allow a
 similarity of 0.8: at most ``slack`` common tokens stand up to that place (one for a rare token; for a
-pair of frequent ones m, and no more than the frequent tokens up to there), the rest behind it. Then parity sketches (a bit a token, 1024 at least),
+pair of frequent ones m, and no more than the frequent tokens up to there), the rest behind it. Under a
+pair of frequent tokens the first common token is sought that is frequent, so that no rare tokens are
+in common: these and the frequent tokens that differ, counted from below by 64 bits of parity, are at
+most a ninth of all. Then parity sketches (a bit a token, 1024 at least),
 looked up once a set, rule out more: they differ in no more bits than the sets differ in tokens, and
 at 0.8 sets differ in at most a ninth of their total size. What is left is verified on the tokens.
 
@@ -74,8 +77,8 @@ def token_classes(level: int) -> int:
     return 1 << max(0, level - 3)
 
 
-def index_keys(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int]:
-    """The keys a set is indexed under, the place of each key's first token, its slack; the set's rare tokens in 1000.
+def index_keys(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, int, int]:
+    """The keys a set is indexed under, the place of each key's first token, its slack; the number of rare tokens, the frequent ones' parities.
 
     ``frequent``: sorted tokens, with their counts. Sets of fewer than four tokens are like no other set.
     """
@@ -86,10 +89,11 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
         often = np.where(frequent[at] == tokens, counts[at], 0)
     order = np.lexsort((tokens, often))
     ranked, common = tokens[order], often[order] > 0
-    often_n = int(common.sum())
-    odd = 1000 * (n - often_n) // max(n, 1)
+    rare_n = n - int(common.sum())
+    slots = np.bincount((ranked[common] >> np.uint64(20) & np.uint64(63)).astype(np.int64), minlength=64) & 1
+    bits = int(np.packbits(slots.astype(np.uint8)).view(np.int64)[0])
     if n < 4:
-        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), odd
+        return np.zeros(0, np.uint64), np.zeros(0, np.int32), np.zeros(0, np.int32), rare_n, bits
     least = (4 * n + 4) // 5
     short = n - least + 1
     rare = np.flatnonzero(~common[:short])
@@ -105,8 +109,8 @@ def index_keys(tokens: np.ndarray, frequent: np.ndarray, counts: np.ndarray) ->
         j = i + 1 + np.arange(len(i)) - np.repeat(np.cumsum(behind) - behind, behind)
         keys.append(mix64((ranked[at[i]] * _STEP + ranked[at[j]]) ^ np.uint64(level + 1)))
         places.append(at[i])
-        slacks.append(np.minimum(m, at[i] - (n - often_n) + 1))
-    return np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(slacks).astype(np.int32), odd
+        slacks.append(np.minimum(m, at[i] - rare_n + 1))
+    return np.concatenate(keys), np.concatenate(places).astype(np.int32), np.concatenate(slacks).astype(np.int32), rare_n, bits
 
 
 def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
@@ -145,8 +149,8 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order].astype(np.int64)
 
 
-_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("odd", pa.int32()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))])
-_SETS_DDL = "kind string, doc_id long, text_hash long, n int, node long, other long, odd int, sketch array<long>, keys array<long>, places array<int>, slacks array<int>"
+_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("rare", pa.int32()), ("bits", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))])
+_SETS_DDL = "kind string, doc_id long, text_hash long, n int, node long, other long, rare int, bits long, sketch array<long>, keys array<long>, places array<int>, slacks array<int>"
 
 
 def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, seed: int) -> DataFrame:
@@ -159,14 +163,14 @@ def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, seed: int)
             for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = tokens_of(text)
                 if not len(tokens):
-                    out.append(("doc", doc_id, text_hash, 0, *[None] * 7))
+                    out.append(("doc", doc_id, text_hash, 0, *[None] * 8))
                     continue
                 node, other = _names(tokens, seed)
-                out.append(("doc", doc_id, text_hash, len(tokens), node, other, *[None] * 5))
+                out.append(("doc", doc_id, text_hash, len(tokens), node, other, *[None] * 6))
                 if node not in seen:
                     seen.add(node)
-                    keys, places, slacks, odd = index_keys(tokens, *box.value)
-                    out.append(("class", None, None, len(tokens), node, None, odd, sketch_of(tokens), keys.view(np.int64), places, slacks))
+                    keys, places, slacks, rare, bits = index_keys(tokens, *box.value)
+                    out.append(("class", None, None, len(tokens), node, None, rare, bits, sketch_of(tokens), keys.view(np.int64), places, slacks))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _SETS)], schema=_SETS)
 
@@ -264,7 +268,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _postings(found: DataFrame) -> DataFrame:
-    """key, node, n, place, slack, odd, turn: of keys that several sets have; turn: the key's place among the set's by hash."""
+    """Of keys that several sets have: key, node, n, place, slack, odd, rare, bits, turn.
+
+    odd: the set's rare tokens in 1000; rare, bits: zero under a rare token; turn: the key's place among the set's by hash.
+    """
     entries = found.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
     shared = materialize(shared, "shared")
@@ -272,7 +279,7 @@ def _postings(found: DataFrame) -> DataFrame:
 
     def run(batches):
         for batch in batches:
-            node, n, odd, *lists = (batch.column(i) for i in range(6))
+            node, n, rare, bits, *lists = (batch.column(i) for i in range(7))
             size = np.diff(lists[0].offsets.to_numpy())
             key, place, slack = (c.flatten().to_numpy(zero_copy_only=False) for c in lists)
             owner = np.repeat(np.arange(len(size)), size)
@@ -282,29 +289,38 @@ def _postings(found: DataFrame) -> DataFrame:
             starts = np.searchsorted(owner, np.arange(len(size)))  # owner is ascending
             turn = np.empty(len(key), np.int64)
             turn[order] = np.arange(len(key)) - starts[owner[order]]
-            out = [key, node.to_numpy()[owner], n.to_numpy()[owner], place, slack, odd.to_numpy()[owner], np.minimum(turn, 127).astype(np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "node", "n", "place", "slack", "odd", "turn"])
+            n, rare, bits = (c.to_numpy()[owner] for c in (n, rare, bits))
+            paired = place >= rare  # rare tokens come first
+            out = [key, node.to_numpy()[owner], n, place, slack, (1000 * rare.astype(np.int64) // n).astype(np.int32), np.where(paired, rare, 0).astype(np.int32), np.where(paired, bits, 0), np.minimum(turn, 127).astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "node", "n", "place", "slack", "odd", "rare", "bits", "turn"])
 
-    kept = found.select("node", "n", "odd", "keys", "places", "slacks").mapInArrow(run, "key long, node long, n int, place int, slack int, odd int, turn byte")
+    kept = found.select("node", "n", "rare", "bits", "keys", "places", "slacks").mapInArrow(run, "key long, node long, n int, place int, slack int, odd int, rare int, bits long, turn byte")
     postings = materialize(kept.join(shared, "key", "left_semi"), "postings")
     release(shared)
     return postings
 
 
-def _alike(nx: str, px: str, mx: str, ny: str, py: str, my: str):
-    """Whether sizes, places and slacks of a common key allow a similarity of 0.8."""
-    most = F.least(mx, my) + F.least(F.col(nx) - F.col(px), F.col(ny) - F.col(py)) - 1
-    return (5 * F.col(nx) >= 4 * F.col(ny)) & (5 * F.col(ny) >= 4 * F.col(nx)) & (9 * most >= 4 * (F.col(nx) + F.col(ny)))
+def _alike(x: str, y: str):
+    """Whether what two postings of a key say (columns with these ends) allows a similarity of 0.8."""
+    of = lambda name: (F.col(name + x), F.col(name + y))
+    (n, m), (p, q) = of("n"), of("place")
+    most = F.least(*of("slack")) + F.least(n - p, m - q) - 1
+    apart = sum(of("rare")) + F.bit_count(F.col("bits" + x).bitwiseXOR(F.col("bits" + y)))
+    return (5 * n >= 4 * m) & (5 * m >= 4 * n) & (9 * most >= 4 * (n + m)) & (9 * apart <= n + m)
+
+
+def _ended(frame: DataFrame, end: str, *names: str) -> DataFrame:
+    return frame.select(*(F.col(c).alias(c + end) for c in ("node", "n", "place", "slack", "rare", "bits", *names)))
 
 
 def _star_pairs(postings: DataFrame) -> DataFrame:
     """Each class with the centres, of all sets there, of its first keys."""
     first = postings.filter(F.col("turn") < STARS)
-    centre = postings.groupBy("key").agg(F.min(F.struct("odd", F.xxhash64("node").alias("luck"), "node", "n", "place", "slack")).alias("c"))
-    centre = centre.select(F.col("key").alias("ck"), F.col("c.node").alias("cnode"), F.col("c.n").alias("cn"), F.col("c.place").alias("cp"), F.col("c.slack").alias("cm"))
-    near = (F.col("key") == F.col("ck")) & (F.col("node") != F.col("cnode")) & _alike("n", "place", "slack", "cn", "cp", "cm")
+    centre = postings.groupBy("key").agg(F.min(F.struct("odd", F.xxhash64("node").alias("luck"), "node", "n", "place", "slack", "rare", "bits")).alias("c"))
+    first, centre = _ended(first, "_x", "key"), _ended(centre.select("key", "c.*"), "_y", "key")
+    near = (F.col("key_x") == F.col("key_y")) & (F.col("node_x") != F.col("node_y")) & _alike("_x", "_y")
     pairs = first.join(centre, near)  # only likely pairs leave the join
-    return pairs.select(F.least("node", "cnode").alias("a"), F.greatest("node", "cnode").alias("b")).distinct()
+    return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
 def _all_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
@@ -315,10 +331,11 @@ def _all_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
     main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("m.component").alias("main"))
     open_ = materialize(postings.join(main, "key"), "open")
     release(postings)
-    left = open_.filter("component <> main").select("key", F.col("node").alias("x"), F.col("n").alias("nx"), F.col("place").alias("px"), F.col("slack").alias("mx"), F.col("component").alias("cx"))
-    right = open_.select(F.col("key").alias("yk"), F.col("node").alias("y"), F.col("n").alias("ny"), F.col("place").alias("py"), F.col("slack").alias("my"), F.col("component").alias("cy"), "main")
-    apart = (F.col("key") == F.col("yk")) & (F.col("cx") != F.col("cy")) & ((F.col("cy") == F.col("main")) | (F.col("x") < F.col("y"))) & _alike("nx", "px", "mx", "ny", "py", "my")
-    pairs = left.join(right, apart).select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")).distinct()
+    left = _ended(open_.filter("component <> main"), "_x", "key", "component")
+    right = _ended(open_, "_y", "key", "component", "main")
+    across = (F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y")))
+    pairs = left.join(right, (F.col("key_x") == F.col("key_y")) & across & _alike("_x", "_y"))
+    pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     release(open_)
     return pairs

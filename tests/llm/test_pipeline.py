@@ -97,9 +97,12 @@ def test_prefix_keys_meet():
         common = len(np.intersect1d(a, b))
         if len(a) + len(b) > 2 * common and 100 * common >= 80 * (len(a) + len(b) - common):
             linked += 1
-            keys = [dict(zip(k.tolist(), zip(p.tolist(), m.tolist()))) for k, p, m, _ in (jaccard.index_keys(x, often, counts) for x in (a, b))]
-            meet = [(keys[0][k], keys[1][k]) for k in keys[0].keys() & keys[1].keys()]
-            assert any(9 * (min(m, w) + min(len(a) - p, len(b) - q) - 1) >= 4 * (len(a) + len(b)) for (p, m), (q, w) in meet)
+            found = [jaccard.index_keys(x, often, counts) for x in (a, b)]
+            places = [dict(zip(k.tolist(), zip(p.tolist(), m.tolist()))) for k, p, m, _, _ in found]
+            (r, u), (s, v) = (f[3:] for f in found)
+            apart = r + s + ((u ^ v) & (2**64 - 1)).bit_count()
+            meet = [(places[0][k], places[1][k]) for k in places[0].keys() & places[1].keys()]
+            assert any(9 * (min(m, w) + min(len(a) - p, len(b) - q) - 1) >= 4 * (len(a) + len(b)) and (p < r or 9 * apart <= len(a) + len(b)) for (p, m), (q, w) in meet)
     assert linked > 300
 
 

@@ -43,15 +43,19 @@ from pyspark.sql import functions as F
 from .common import crc_mod, mix64, prepare
 
 ORDER, DISCOUNT, FOLDS, ALPHA, FEW = 4, 0.75, 10, 0.005, 20
-# what Python's word class holds beside letters: digits and other number signs
-_NUMBERS = "".join(c for c in map(chr, range(sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
-_OTHER = re.compile(rf"[\W_{_NUMBERS}]+")
+_OTHER = re.compile(r"[\W\d_]+")
+# number signs that Python's word class holds beside letters and digits
+_NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
+_NO_NUMBERS = dict.fromkeys(map(ord, _NUMBERS), " ")
 _BLANK = np.uint64(32)
 
 
 def symbols(text: str) -> np.ndarray:
     """UTF-16 units of the folded text behind three blanks and before one; empty without a letter."""
-    words = _OTHER.sub(" ", text.lower()).strip()
+    low = text.lower()
+    if not (low.isascii() or _NUMBERS.isdisjoint(low)):
+        low = low.translate(_NO_NUMBERS)
+    words = _OTHER.sub(" ", low).strip()
     if not words:
         return np.zeros(0, np.uint64)
     return np.frombuffer(f"   {words} ".encode("utf-16-le", "surrogatepass"), "<u2").astype(np.uint64)

@@ -136,7 +136,7 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
                     seen.add(name)
                     held.append(tokens)
                     size += len(tokens)
-            if size > 4_000_000:
+            if size > 2_000_000:
                 yield from flush()
                 size = 0
         if held:

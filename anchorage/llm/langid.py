@@ -47,7 +47,7 @@ _OTHER = re.compile(r"[\W\d_]+")
 # number signs that Python's word class holds beside letters and digits
 _NUMBERS = frozenset(c for c in map(chr, range(128, sys.maxunicode + 1)) if c.isalnum() and not c.isalpha())
 _NO_NUMBERS = dict.fromkeys(map(ord, _NUMBERS), " ")
-_BLANK = np.uint64(32)
+_NONE, SLICE = np.zeros(0, np.uint64), 200_000  # characters worked on at once
 
 
 def symbols(text: str) -> np.ndarray:
@@ -90,20 +90,30 @@ def count_grams(rows: DataFrame) -> DataFrame:
 
     def run(batches):
         held: dict[tuple[str, bool], tuple[np.ndarray, np.ndarray]] = {}
+        parts: dict[tuple[str, bool], list[np.ndarray]] = {}
+        size = 0
+
+        def add():
+            for key, own in parts.items():
+                keys, counts = np.unique(np.concatenate(own), return_counts=True)
+                if key in held:
+                    keys, counts = _sum_by(np.concatenate([held[key][0], keys]), np.concatenate([held[key][1], counts]))
+                held[key] = (keys, counts)
+            parts.clear()
+
         for batch in batches:
-            by: dict[tuple[str, bool], list[np.ndarray]] = {}
             for text, lang, back in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 s = symbols(text)
                 if len(s):
-                    by.setdefault((lang, back), []).append(grams(s))
-            for lang, parts in by.items():
-                keys, counts = np.unique(np.concatenate(parts), return_counts=True)
-                if lang in held:
-                    keys, counts = _sum_by(np.concatenate([held[lang][0], keys]), np.concatenate([held[lang][1], counts]))
-                held[lang] = (keys, counts)
-            if sum(len(k) for k, _ in held.values()) > 2_000_000:  # memory of a task
+                    parts.setdefault((lang, back), []).append(grams(s))
+                    size += len(s)
+                if size > 5 * SLICE:
+                    add()
+                    size = 0
+            if sum(len(k) for k, _ in held.values()) > 1_000_000:  # memory of a task
                 yield from emit(held)
                 held.clear()
+        add()
         yield from emit(held)
 
     found = rows.filter("text is not null and lang is not null").select("text", "lang", _back().alias("back")).mapInArrow(run, "lang string, back boolean, gram long, n long")
@@ -189,33 +199,51 @@ class Models:
 
     def entropies(self, texts: list[str], squares: bool = False) -> tuple[np.ndarray, ...]:
         """Bits for each text and language, and the number of characters predicted (0: no letter); the sums of squared bits."""
-        parts = [symbols(t) if t else np.zeros(0, np.uint64) for t in texts]
-        sizes = np.array([max(0, len(p) - 3) for p in parts], np.int64)
+        sizes = np.zeros(len(texts), np.int64)
         out, more = np.zeros((len(texts), len(self.langs))), np.zeros((len(texts), len(self.langs)))
-        full = np.flatnonzero(sizes)
-        if len(full) and self.langs:
-            keys = np.concatenate([grams(parts[i]) for i in full])
-            ends = np.cumsum(sizes[full])
-            total = np.zeros((len(keys), len(self.langs)), np.float32)
-            left = np.arange(len(keys))
-            for m in range(ORDER, 0, -1):
-                now = keys[left] & np.uint64((1 << 16 * m) - 1) if m < 4 else keys[left]
-                at = self.tables[m].find(now)
-                hit = at >= 0
-                total[left[hit]] += self.logs[m][at[hit]]
-                left, now = left[~hit], now[~hit]
-                if not len(left):
-                    break
-                at = self.context[m].find(now >> np.uint64(16))
-                seen = at >= 0
-                total[left[seen]] += self.weight[m][at[seen]]
-            total[left] += np.float32(self.floor)
-            total, starts = total.astype(np.float64), np.r_[0, ends[:-1]]
-            out[full] = -np.add.reduceat(total, starts, axis=0)
+        held, owners, size = [], [], 0
+
+        def close():
+            ends = np.cumsum([len(h) for h in held])
+            bits = self._bits(np.concatenate(held)).astype(np.float64)
+            starts = np.r_[0, ends[:-1]]
+            np.add.at(out, owners, np.add.reduceat(bits, starts, axis=0))
             if squares:
-                more[full] = np.add.reduceat(total * total, starts, axis=0)
+                np.add.at(more, owners, np.add.reduceat(bits * bits, starts, axis=0))
+
+        for i, text in enumerate(texts):
+            keys = symbols(text) if text else _NONE
+            sizes[i] = max(0, len(keys) - 3)
+            keys = grams(keys) if len(keys) and self.langs else _NONE
+            for k in range(0, len(keys), SLICE):  # a long text in slices, short ones together
+                held.append(keys[k : k + SLICE])
+                owners.append(i)
+                size += len(held[-1])
+                if size >= SLICE:
+                    close()
+                    held, owners, size = [], [], 0
+        if held:
+            close()
         return (out, sizes, more) if squares else (out, sizes)
 
+    def _bits(self, keys: np.ndarray) -> np.ndarray:
+        """Bits of each gram's last character in each language."""
+        total = np.zeros((len(keys), len(self.langs)), np.float32)
+        left = np.arange(len(keys))
+        for m in range(ORDER, 0, -1):
+            now = keys[left] & np.uint64((1 << 16 * m) - 1) if m < 4 else keys[left]
+            at = self.tables[m].find(now)
+            hit = at >= 0
+            total[left[hit]] += self.logs[m][at[hit]]
+            left, now = left[~hit], now[~hit]
+            if not len(left):
+                break
+            at = self.context[m].find(now >> np.uint64(16))
+            seen = at >= 0
+            total[left[seen]] += self.weight[m][at[seen]]
+        total[left] += np.float32(self.floor)
+        return -total
+
 
 def _limits(docs: DataFrame, models: Models, alpha: float) -> dict:
     """For each language of the models (mean, variance between texts, variance within), the factor applied."""
@@ -289,16 +317,15 @@ def predict(docs: DataFrame, model: dict, keep: str | None = None) -> DataFrame:
 
     def judge(texts):
         models, limits = box.value["models"], box.value["limits"]
-        for k in range(0, len(texts), 200):
-            bits, size = models.entropies(texts[k : k + 200])
-            for i, n in enumerate(size.tolist()):
-                if not n or not models.langs:
-                    yield "und", 0.0, None, True
-                    continue
-                best = int(np.argmin(bits[i]))
-                gap = np.minimum(bits[i] - bits[i, best], 700)
-                mean = float(bits[i, best] / n)
-                yield models.langs[best], float(1 / np.exp2(-gap).sum()), mean, too_high(limits.get(models.langs[best]), mean, n)
+        bits, size = models.entropies(texts)
+        for i, n in enumerate(size.tolist()):
+            if not n or not models.langs:
+                yield "und", 0.0, None, True
+                continue
+            best = int(np.argmin(bits[i]))
+            gap = np.minimum(bits[i] - bits[i, best], 700)
+            mean = float(bits[i, best] / n)
+            yield models.langs[best], float(1 / np.exp2(-gap).sum()), mean, too_high(limits.get(models.langs[best]), mean, n)
 
     if keep:
 

@@ -52,28 +52,49 @@ def tier_search(rows: DataFrame, key: str, text: str, phrases: dict[str, str], k
     return hits.withColumn("place", place.cast("int")).filter(F.col("place") <= k)
 
 
-def grounded(passages: DataFrame, passage_key: str, passage: str, docs: DataFrame, doc_key: str, text: str, words: int = 5) -> DataFrame:
+def _sieve(hashes: DataFrame, column: str, log2_bits: int = 20):
+    """A test of a hash against a bitmap of fixed size, whatever the number of hashes: set bits mean "perhaps there"."""
+    slot = F.col(column).bitwiseAND(F.lit((1 << log2_bits) - 1))
+    words = hashes.select(slot.alias("s")).groupBy(F.shiftright("s", 6).alias("word")).agg(F.expr("bit_or(shiftleft(1L, cast(s & 63 as int)))").alias("mask"))
+    held = [0] * ((1 << log2_bits) // 64)
+    for row in words.collect():  # at most 2**log2_bits / 64 rows
+        held[row["word"]] = row["mask"]
+    bits = F.from_json(F.lit(str(held)), "array<bigint>")
+    low = F.lit((1 << log2_bits) - 1)
+    return lambda h: F.getbit(F.get(bits, F.shiftright(h.bitwiseAND(low), 6).cast("int")), h.bitwiseAND(F.lit(63)).cast("int")) == 1
+
+
+def grounded(passages: DataFrame, passage_key: str, passage: str, docs: DataFrame, doc_key: str, text: str, words: int = 5, chars: int = 4) -> DataFrame:
     """How many documents hold each passage (normalised), and the first: candidates share a gram.
 
     A passage is looked for under the hash of its inner words, at most ``words`` of them (its first
-    and last may be parts of longer words in a document), so that documents meet passages by an equi
-    join. Passages of one or two words have no inner word and are searched for as they are.
+    and last may be parts of longer words in a document); one of one or two words under its first
+    ``chars`` characters, the empty one under the empty gram. So documents meet passages by an equi
+    join. A document's grams are tested against a bitmap of the passages' first, and what is left
+    is joined and verified on the text beside it.
     """
     normal = lambda c: F.trim(F.regexp_replace(F.lower(c), r"\s+", " "))
     p = passages.select(F.col(passage_key).alias("_p"), normal(F.col(passage)).alias("_pt"))
-    split = F.split("_pt", " ")
-    size = F.least(F.lit(words), F.size(split) - 2)
-    long = p.filter(F.size(split) > 2).withColumn("_g", F.xxhash64(F.array_join(F.slice(split, 2, size), " "), size))
-    short = p.filter(F.size(split) <= 2)
-    sizes = [r["s"] for r in long.select(size.alias("s")).distinct().collect()]  # at most `words` numbers
-    d = docs.select(F.col(doc_key).alias("_d"), normal(F.col(text)).alias("_dt"))
-    tokens = F.split("_dt", " ")
-    gram = lambda n: F.transform(F.sequence(F.lit(1), F.greatest(F.size(tokens) - n + 1, F.lit(1))), lambda i: F.xxhash64(F.array_join(F.slice(tokens, i, n), " "), F.lit(n)))
-    grams = F.array_distinct(F.flatten(F.array(*map(gram, sizes)))) if sizes else F.array().cast("array<bigint>")
-    hits = d.select("_d", F.explode(grams).alias("_g")).join(long, "_g").join(d, "_d")
-    found = hits.filter(F.contains("_dt", F.col("_pt"))).select("_p", "_d")
-    if not short.isEmpty():
-        found = found.unionByName(d.join(short, F.contains("_dt", F.col("_pt"))).select("_p", "_d"))
+    own = F.split("_pt", " ")
+    inner = F.array(*[F.struct(F.lit("w").alias("kind"), F.lit(n).alias("n"), F.xxhash64(F.lit("w"), F.lit(n), *[F.get(own, F.lit(k + 1)) for k in range(n)]).alias("g")) for n in range(1, words + 1)])
+    first = F.array(*[F.struct(F.lit("c").alias("kind"), F.lit(n).alias("n"), F.xxhash64(F.lit("c"), F.lit(n), *[F.substring("_pt", k + 1, 1) for k in range(n)]).alias("g")) for n in range(chars + 1)])
+    gram = F.when(F.size(own) > 2, F.get(inner, F.least(F.lit(words), F.size(own) - 2) - 1)).otherwise(F.get(first, F.least(F.lit(chars), F.length("_pt"))))
+    p = p.withColumn("_k", gram)
+    used = [(r["kind"], r["n"]) for r in p.filter("_k is not null").select("_k.kind", "_k.n").distinct().orderBy("kind", "n").collect()]  # at most words + chars + 1
+    p = p.select("_p", "_pt", F.col("_k.g").alias("_g"))
+    likely = _sieve(p.filter("_g is not null"), "_g")
+    d = docs.select(F.col(doc_key).alias("_d"), normal(F.col(text)).alias("_dt")).filter("_dt is not null")
+
+    def grams(kind: str, pattern: str) -> Column:
+        """All grams of a kind that the bitmap has; the split text is bound once, as the one element of an array."""
+        sizes = [n for k, n in used if k == kind]
+        run = lambda parts, n: F.transform(F.sequence(F.lit(0), F.size(parts) - n), lambda i: F.xxhash64(F.lit(kind), F.lit(n), *[F.get(parts, i + k) for k in range(n)]))
+        some = lambda parts, n: F.when(F.size(parts) >= n, F.filter(run(parts, n), likely) if n else F.array(F.xxhash64(F.lit(kind), F.lit(0)))).otherwise(F.array().cast("array<bigint>"))
+        bound = F.transform(F.array(F.split("_dt", pattern)), lambda parts: F.concat(*[some(parts, n) for n in sizes]))
+        return F.get(bound, F.lit(0)) if sizes else F.array().cast("array<bigint>")
+
+    hits = d.select("_d", "_dt", F.explode(F.array_distinct(F.concat(grams("w", " "), grams("c", "")))).alias("_g"))
+    found = hits.join(p, "_g").filter(F.contains("_dt", F.col("_pt"))).select("_p", "_d")
     counted = found.distinct().groupBy("_p").agg(F.count("*").alias("n"), F.min("_d").alias("first_doc"))
     out = p.select("_p").join(counted, "_p", "left")
     return out.select(F.col("_p").alias(passage_key), F.coalesce("n", F.lit(0).cast("long")).alias("n"), "first_doc")

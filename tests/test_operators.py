@@ -228,3 +228,12 @@ def test_mutation_is_found(dataset, code):
 def test_readiness(dataset):
     assert integrity.readiness("Crop", dataset["Crop"]).count() == 0
     assert integrity.readiness("Variable", _with(dataset, "Variable", name=_value(None, label="UNRESOLVED"))["Variable"]).first().code == "variable_name_unresolved"
+
+
+def test_grounded_short_and_empty_passages(spark):
+    asked = [(1, "abc"), (2, "a b"), (3, ""), (4, "x  Y z w"), (5, None), (6, "q"), (7, "bc de"), (8, "one two three four five six seven eight")]
+    docs = [(1, "xabcx a bq"), (2, None), (3, ""), (4, "ax y z wb"), (5, "abc de"), (6, "ONE two three  four five six seven eight")]
+    got = search.grounded(spark.createDataFrame(asked, "p int, t string"), "p", "t", spark.createDataFrame(docs, "d int, x string"), "d", "x").collect()
+    norm = lambda t: " ".join(t.lower().split())
+    held = {k: [d for d, x in docs if t is not None and x is not None and norm(t) in norm(x)] for k, t in asked}
+    assert {r.p: (r.n, r.first_doc) for r in got} == {k: (len(v), min(v, default=None)) for k, v in held.items()}

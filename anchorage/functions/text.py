@@ -91,8 +91,16 @@ def units_key(text: Column) -> Column:
     return F.replace(F.regexp_replace(canon(F.coalesce(text, F.lit(""))), r"[\s.^()\[\]|*,;:_·×{}]+", ""), F.lit("μ"), F.lit("u"))
 
 
+#: Words that tell nothing of a method by themselves.
+GENERIC = (
+    "the a an of and or in on at to for by with as is was were using used based method methods measurement "
+    "measurements measured measure analysis described section hand value values see materials"
+).split()
+
+
 def significant_tokens(text: Column, least: int = 4) -> Column:
-    return F.filter(F.split(words_key(text), " "), lambda w: F.length(w) >= least)
+    """Words of at least ``least`` characters that are not generic."""
+    return F.filter(F.split(words_key(text), " "), lambda w: (F.length(w) >= least) & ~w.isin(GENERIC))
 
 
 def significant_words(text: Column) -> Column:
@@ -147,11 +155,18 @@ def two_stretches(text: Column, blocks: Column) -> Column:
 
 
 def segments_in_order(excerpt: Column, text: Column) -> Column:
-    """Every stretch between ellipses (of at least three letters or digits) stands in the text, in order."""
-    parts = F.filter(F.transform(F.split(canon(excerpt), r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(F.regexp_replace(p, "[^a-z0-9]", "")) >= 3)
+    """Every stretch between ellipses stands in the text, in order: all as written, or all with white space taken out.
+
+    A stretch of fewer than three letters or digits grounds nothing, and neither does the whole then.
+    """
+    parts = F.filter(F.transform(F.split(canon(excerpt), r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: p != "")
+    long = F.forall(parts, lambda p: F.length(F.regexp_replace(p, r"(?U)[^\p{L}\p{N}]", "")) >= 3)
+
+    def in_order(stretches: Column, whole: Column) -> Column:
+        return F.aggregate(stretches, F.lit(1), lambda at, p: F.when(at == 0, F.lit(0)).otherwise(_after(p, whole, at))) > 0
+
     plain = canon(text)
-    end = F.aggregate(parts, F.lit(1), lambda at, p: F.when(at == 0, F.lit(0)).otherwise(_after(p, plain, at)))
-    return (F.size(parts) > 0) & (end > 0)
+    return (F.size(parts) > 0) & long & (in_order(parts, plain) | in_order(F.transform(parts, compact), compact(plain)))
 
 
 def _after(part: Column, text: Column, at: Column) -> Column:

@@ -102,7 +102,9 @@ def denormalized(ds):
 
 
 def containment(ds):
-    root = ds["Observation"].select(F.min("dataset_id").alias("root")) if "dataset_id" not in ds else ds["dataset_id"]
+    if "dataset_id" not in ds:
+        raise ValueError("containment needs the dataset's own id: a one-row table 'dataset_id' of (root)")
+    root = ds["dataset_id"]
     found = ds["Observation"].join(F.broadcast(root), F.col("dataset_id") != F.col("root"))  # one row
     return issues(found, "error", "dataset_id_mismatch", "Observation", "id", "belongs to another dataset")
 

@@ -7,35 +7,83 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 
-#: Frames that state pooling, the first that matches a sentence decides; names' dimensions.
+#: Words for reported values, for aggregating, of statistical procedures; what a factor's name leaves out,
+#: what says nothing by itself, what makes a phrase a clause; dimensions by a name's last word.
+VALUE_WORDS = "mean means average averages data value values results estimates percentages proportions totals measurements".split()
+AGGREGATING = "averaged pooled combined collapsed aggregated summed".split()
+PROCEDURES = "anova anovas tukey kramer duncan lsd hsd scheffe bonferroni post-hoc posthoc separation separations comparison comparisons pairwise regression contrast contrasts".split()
+DETERMINERS = "the all each both any every three two four five six seven eight nine ten of a an".split()
+GENERIC_HEADS = "treatment treatments level levels combination combinations group groups condition conditions value values data result results".split()
+CLAUSE_WORDS = "were was is are be been being by in on at from with than that which presented performed used shown observed conducted during within between for per to after before".split()
+PHRASE_ENDS = "since because as which where while with when thus so but hence".split()
+DIMENSIONS = {
+    "site": "location site environment locality region".split(),
+    "time": "year season date stage maturity harvest month week day sampling time".split(),
+    "crop": "cultivar variety population genotype hybrid accession line species".split(),
+    "replicate": "block replicate replication plot rep repetition".split(),
+}
+
+
+def _any(words: list[str]) -> str:
+    return rf"\b(?:{'|'.join(words)})\b"
+
+
+#: Frames that state pooling, in order: name, what stands before the factors; the first that a sentence has decides.
 FRAMES = (
-    ("averaged", r"(?i)\baveraged\s+(?:across|over)\s+(?:the\s+|all\s+|both\s+)?([a-z][a-z ,\-]{2,60})"),
-    ("pooled", r"(?i)\bpooled\s+(?:across|over)\s+(?:the\s+|all\s+|both\s+)?([a-z][a-z ,\-]{2,60})"),
-    ("means", r"(?i)\bmeans?\s+(?:of|over|across)\s+(?:the\s+|all\s+|both\s+)?([a-z][a-z ,\-]{2,60})"),
-    ("across", r"(?i)\bacross\s+all\s+([a-z][a-z ,\-]{2,60})"),
+    ("aggregation_verb_across", rf"(?i){_any(AGGREGATING)}(?:\s+\w+){{0,2}}?\s+{_any(['across', 'over', 'among', 'amongst'])}\s+"),
+    ("mean_across", rf"(?i){_any(VALUE_WORDS[:4])}[^.;a-z]{{0,6}}(?:{_any(['se', 'sd', 's.e', 's.d', 'standard error', 'standard deviation'])}[.]?)?\s+{_any(['across', 'among', 'amongst'])}\s+"),
+    ("value_for_all", rf"(?i){_any(VALUE_WORDS)}[^.;]{{0,60}}?\bfor all\s+"),
+    ("regardless_of", rf"(?i){_any(VALUE_WORDS)}[^.;]{{0,80}}?{_any(['regardless', 'irrespective'])} of\s+"),
 )
-DIMENSIONS = {"year": "time", "season": "time", "date": "time", "month": "time", "location": "site", "site": "site", "field": "site", "cultivar": "crop", "variety": "crop", "species": "crop", "treatment": "treatment", "rate": "treatment", "level": "treatment", "replicate": "replicate", "block": "replicate", "plot": "replicate"}
 
 
 def sentences(text: Column) -> Column:
-    return F.filter(F.transform(F.split(text, r"(?<=[.;!?])\s+"), lambda s: F.trim(s)), lambda s: s != "")
+    return F.filter(F.transform(F.split(F.regexp_replace(text, r"\s+", " "), r"(?<=[a-z)\]*])[.;!?]\s+(?=[*A-Z$])"), lambda s: F.trim(s)), lambda s: s != "")
 
 
-def pooling_statements(blocks: DataFrame, text: str) -> DataFrame:
-    """Each pooled factor a block states: frame, name, dimension, and whether it is accepted.
+def pooling_statements(blocks: DataFrame, text: str, own_caption: Column | None = None) -> DataFrame:
+    """Each pooled factor that a block states: frame, name, dimension, status (accepted or rejected) and the reason.
 
-    A name of a known dimension is accepted; replicates are no factor, other names are unknown.
+    A sentence on a statistical procedure states none; an aggregating verb needs a word for reported values before it,
+    unless the block is the table's own caption. The factors are what follows the frame up to a sign or a word that
+    starts a clause. If any of them is a clause, holds digits or markup, is generic or longer than four words, or if
+    there are more than three, the statement is rejected as a whole. Replicates are no factor.
     """
+    own = F.lit(False) if own_caption is None else own_caption
     rows = blocks.withColumn("sentence", F.explode(sentences(F.col(text))))
-    frame = F.lit(None).cast("struct<frame:string,names:string>")
+    frame = F.lit(None).cast("struct<frame:string,before:string,phrase:string>")
     for name, pattern in reversed(FRAMES):
-        frame = F.when(F.col("sentence").rlike(pattern), F.struct(F.lit(name).alias("frame"), F.regexp_extract("sentence", pattern, 1).alias("names"))).otherwise(frame)
+        parts = F.split("sentence", pattern, 2)
+        frame = F.when(F.col("sentence").rlike(pattern), F.struct(F.lit(name).alias("frame"), parts[0].alias("before"), F.coalesce(F.get(parts, F.lit(1)), F.lit("")).alias("phrase"))).otherwise(frame)
     rows = rows.withColumn("f", frame).filter("f is not null")
-    rows = rows.withColumn("name", F.explode(F.filter(F.transform(F.split("f.names", r",|\band\b"), T.name_key), lambda n: n != "")))
-    known = F.create_map(*[F.lit(x) for kv in DIMENSIONS.items() for x in kv])
-    hit = F.get(F.filter(F.transform(F.split("name", " "), lambda w: F.element_at(known, w)), lambda d: d.isNotNull()), F.lit(0))
-    status = F.when(hit.isNull(), "unknown_factor").when(hit == "replicate", "replicate").otherwise("accepted")
-    return rows.select(*blocks.columns, F.col("f.frame").alias("frame"), "name", hit.alias("dimension"), status.alias("status"))
+    phrase = F.split("f.phrase", rf"(?i)\s*(?:[,;(]|\.(?:\s|$)|{_any(PHRASE_ENDS)})")[0]
+    told = F.transform(F.split(phrase, r"(?i)\s*(?:\band\b|&|\bor\b)\s*"), lambda p: F.filter(F.transform(F.split(p, r"\s+"), lambda w: F.regexp_replace(w, r"^[*_.\]]+|[*_.\]]+$", "")), lambda w: (w != "") & ~F.lower(w).isin(DETERMINERS)))
+    is_generic = lambda w: F.lower(w).isin(GENERIC_HEADS)
+    # generic words go from the end, down to one
+    kept = F.transform(told, lambda ws: F.reverse(F.aggregate(F.reverse(ws), F.array().cast("array<string>"), lambda acc, w: F.when((F.size(acc) == 0) & is_generic(w), acc).otherwise(F.array_append(acc, w)))))
+    rows = rows.withColumn("_told", told).withColumn("_kept", kept)
+    has = lambda test: F.exists("_told", lambda ws: F.exists(ws, test))
+    reason = (
+        F.when(F.col("sentence").rlike(rf"(?i){_any(PROCEDURES)}|{_any(VALUE_WORDS)}\s+(?:tests?|procedures?|squares?)\b"), "statistical_procedure")
+        .when((F.col("f.frame") == "aggregation_verb_across") & ~own & ~F.col("f.before").rlike(rf"(?i){_any(VALUE_WORDS)}"), "no_reported_value")
+        .when(has(lambda w: F.lower(w).isin(CLAUSE_WORDS)), "clause")
+        .when(has(lambda w: w.rlike(r"[0-9$\\_]")), "digits_or_markup")
+        .when(F.exists("_kept", lambda ws: F.size(ws) == 0), "generic")
+        .when(F.exists("_kept", lambda ws: F.size(ws) > 4), "too_long")
+        .when(F.size("_kept") > 3, "too_many")
+    )
+    rows = rows.withColumn("_reason", reason).withColumn("_phrase", phrase)
+    rows = rows.withColumn("_name", F.explode(F.when(F.col("_reason").isNull(), F.transform("_kept", lambda ws: F.array_join(ws, " "))).otherwise(F.array(F.lit(None).cast("string")))))
+    name = T.name_key(F.col("_name"))
+    last = F.element_at(F.split(name, " "), -1)
+    dimension = F.when(F.regexp_like("_phrase", F.concat(F.lit(r"(?i)\b"), F.element_at(F.split(F.regexp_replace("_name", r"[^\w ]", "."), " "), -1), F.lit(r"\s+treatments?\b"))), "treatment")
+    dimension = dimension.when(F.arrays_overlap(F.split(name, " "), F.array(F.lit("mixture"), F.lit("blend"))), "other")
+    for kind, words in DIMENSIONS.items():
+        dimension = dimension.when(last.isin(words), kind)
+    dimension = F.when(F.col("_name").isNotNull(), dimension.otherwise("other"))
+    why = F.coalesce("_reason", F.when(dimension == "replicate", "replicate"))
+    status = F.when(why.isNull(), "accepted").otherwise("rejected")
+    return rows.select(*blocks.columns, F.col("f.frame").alias("frame"), name.alias("name"), dimension.alias("dimension"), status.alias("status"), why.alias("reason"))
 
 
 def windows(blocks: DataFrame, reach: int = 3) -> DataFrame:

@@ -93,13 +93,30 @@ def terminal_state(attempts: DataFrame) -> DataFrame:
     return last.withColumn("status", status)
 
 
+#: What a concern about the style of a name says; a final '-' lets any ending follow.
+NAMING_STYLE = (
+    "omit-", "lack", "lacks", "missing qualifier", "missing word", "missing prefix", "missing context", "missing the qualifier", "missing the word",
+    "missing the prefix", "missing the context", "qualifier", "incomplete", "more specific", "more descriptive", "more complete", "full name",
+    "full form", "full term", "fuller name", "fuller form", "fuller term", "abbreviat-", "shortened", "less specific", "does not reflect",
+    "does not fully reflect", "does not capture", "does not fully capture",
+)
+
+
+def is_naming_style(concern: Column) -> Column:
+    """Whether a concern is about how much of a name was given, by whole words."""
+    words = F.concat(F.lit(" "), F.regexp_replace(F.lower(F.coalesce(concern, F.lit(""))), "[^a-z0-9]+", " "), F.lit(" "))
+    found = F.lit(False)
+    for phrase in NAMING_STYLE:
+        found = found | F.contains(words, F.lit(" " + (phrase[:-1] if phrase.endswith("-") else phrase + " ")))
+    return found
+
+
 def settle_concerns(fields: DataFrame, concerns: DataFrame, required: list[str]) -> DataFrame:
     """Fields demoted where a validator doubts them; a record is settled if no required field of it is doubted.
 
     Concerns about naming style alone demote nothing.
     """
-    style = F.col("concern").rlike(r"(?i)\b(?:naming|capitali[sz]ation|style|formatting)\b")
-    real = concerns.filter(~style).select("record_id", "field_name").distinct().withColumn("_doubted", F.lit(True))
+    real = concerns.filter(~is_naming_style(F.col("concern"))).select("record_id", "field_name").distinct().withColumn("_doubted", F.lit(True))
     rows = fields.join(real, ["record_id", "field_name"], "left").withColumn("doubted", F.coalesce("_doubted", F.lit(False))).drop("_doubted")
     lost = rows.groupBy("record_id").agg(F.bool_or(F.col("doubted") & F.col("field_name").isin(required)).alias("lost"))
     return rows.join(lost, "record_id").select(*fields.columns, "doubted", (~F.col("lost")).alias("settled"))
@@ -112,6 +129,6 @@ def drop_ungrounded(facts: DataFrame, core: list[str]) -> DataFrame:
 
 
 def balanced(text: Column) -> Column:
-    """As many opening as closing brackets of each kind."""
+    """As many opening as closing brackets of each kind, and an even number of dollar signs."""
     pair = lambda a, b: F.regexp_count(text, F.lit(a)) == F.regexp_count(text, F.lit(b))
-    return pair(r"\(", r"\)") & pair(r"\[", r"\]") & pair(r"\{", r"\}")
+    return pair(r"\(", r"\)") & pair(r"\[", r"\]") & pair(r"\{", r"\}") & (F.regexp_count(text, F.lit(r"\$")) % 2 == 0)

@@ -32,10 +32,12 @@ def upsert_into(stream: DataFrame, path: str, keys: list[str], checkpoint: str,
     return stream.writeStream.foreachBatch(put).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
 
 
-def completions(stream: DataFrame, keys: list[str], delay: str = "1 hour") -> DataFrame:
-    """Records completed for the first time since the stream began, within the delay of their event time."""
-    done = stream.filter("status in ('ready', 'unresolved', 'error')").withColumn("at", F.timestamp_seconds("ts")).withWatermark("at", delay)
-    return done.dropDuplicatesWithinWatermark(keys)
+def completions(stream: DataFrame, keys: list[str]) -> DataFrame:
+    """Records completed for the first time since the stream began; one logged again, however late, is not new.
+
+    The state holds the keys of all records completed so far, so it has no watermark to drop them by.
+    """
+    return stream.filter("status in ('ready', 'unresolved', 'error')").withColumn("at", F.timestamp_seconds("ts")).dropDuplicates(keys)
 
 
 def windowed_counts(stream: DataFrame, time: str, kind: str, size: str = "1 hour", slide: str | None = None, late: str = "10 minutes") -> DataFrame:

@@ -90,8 +90,8 @@ def _two_stretches(text, blocks):
 def test_stretches(spark):
     cases = [("a b c d", ["x a b", "c d y"]), ("a b c d", ["a x b", "c d"]), ("", ["a"]), ("a b", ["a b"]), ("a c", ["a", "b"])]
     assert run(spark, cases, lambda d: T.two_stretches(d.t, d.b), "t string, b array<string>") == [_two_stretches(*c) for c in cases]
-    got = run(spark, [("first part ... last part", "the first part is here and the last part"), ("last ... first", "first then last"), ("...", "x")], lambda d: T.segments_in_order(d.e, d.t), "e string, t string")
-    assert got == [True, False, False]
+    got = run(spark, [("first part ... last part", "the first part is here and the last part"), ("last ... first", "first then last"), ("...", "x"), ("5 x 10 ... mol m", "5x10 and molm"), ("5 x 10 ... mol m", "5x10 and mol x"), ("ab ... first", "ab first")], lambda d: T.segments_in_order(d.e, d.t), "e string, t string")
+    assert got == [True, False, False, True, False, False]
 
 
 def test_keys(spark):
@@ -157,3 +157,19 @@ def test_close_matches_of_other_first_letters(spark):
     for t in terms:
         assert {r.w for r in found if r.t == t} == set(get_close_matches(t, words, 5, 0.3))
     assert ("nitrogen", "total_nitrogen") in {(r.t, r.w) for r in found}
+
+
+def test_coordinate_shapes(spark):
+    told = ["N 45°30'", "45° 30.5' S", "-12.25°", "12°30", "1234 N", "45 30' N", "10°75'N", "N", "12°20'30''W", "12° N E", "45,5 N", ""]
+    got = [g and round(g.decimal, 6) for g in run(spark, told, lambda d: V.parse_coordinate(d.v))]
+    assert got == [45.5, -45.508333, -12.25, None, None, 45.5, None, None, -12.341667, None, None, None]
+
+
+def test_cell_parts(spark):
+    got = run(spark, ["5.1 ± x", "1,5 [1,0, 2,0] (0,3) ab", "(3)", "4 ab c", "−2", "7 [1, 2", "3 ± 1 ± 2", "$5 \\pm 2$", None], lambda d: V.parse_cell(d.v))
+    assert got[0] is None and tuple(got[1]) == (1.5, None, 1.0, 2.0, 0.3, "ab") and all(got[i] is None for i in (2, 3, 5, 6, 8))
+    assert got[4].mean == -2 and (got[7].mean, got[7].dispersion) == (5, 2)
+
+
+def test_significant_tokens(spark):
+    assert run(spark, ["Measured using the oven-drying method, soil"], lambda d: T.significant_tokens(d.v)) == [["oven", "drying", "soil"]]

@@ -178,10 +178,16 @@ def dataset(spark):
         "TreatmentPair": make([("tp1", "c1", "t1", "t2")], "id string, citation_id string, treatment_id_1 string, treatment_id_2 string"),
         "Management": make([("mg1", "c1", e(["t1"]))], f"id string, citation_id string, treatment_ids {_ef('array<string>')}"),
         "Observation": make([("o1", "d1", "c1", "s1", "t1", "v1", "cr1", e("treatment_mean"), e([]))], f"id string, dataset_id string, citation_id string, site_id string, treatment_id string, variable_id string, crop_id string, reported_effect_scope {_ef()}, aggregated_over_factors {_ef('array<string>')}"),
+        "dataset_id": make([("d1",)], "root string"),
         "Coverage": make([("cv1", "c1", "s1", "v1")], "id string, citation_id string, site_id string, variable_id string"),
     }
 
 
+def test_containment_needs_the_id(dataset):
+    with pytest.raises(ValueError):
+        integrity.validate({k: v for k, v in dataset.items() if k != "dataset_id"})
+
+
 def test_clean_graph_has_no_issues(dataset):
     assert integrity.validate(dataset).collect() == []
 

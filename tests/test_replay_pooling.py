@@ -40,18 +40,33 @@ def test_states(spark):
     new = spark.createDataFrame([("a", "ok"), ("b", "bad"), ("d", "ok")], "k string, verdict string")
     assert {r.k for r in replay.verdict_changes(old, new, ["k"]).collect()} == {"b", "c", "d"}
     fields = spark.createDataFrame([("r", "name"), ("r", "notes"), ("q", "name")], "record_id string, field_name string")
-    doubts = spark.createDataFrame([("r", "notes", "not in text"), ("q", "name", "wrong site"), ("r", "name", "naming style")], "record_id string, field_name string, concern string")
+    doubts = spark.createDataFrame([("r", "notes", "not in text"), ("q", "name", "wrong site"), ("r", "name", "The name omits the cultivar")], "record_id string, field_name string, concern string")
     got = {(r.record_id, r.field_name): (r.doubted, r.settled) for r in replay.settle_concerns(fields, doubts, ["name"]).collect()}
     assert got == {("r", "name"): (False, True), ("r", "notes"): (True, True), ("q", "name"): (True, False)}
     facts = spark.createDataFrame([("r", "notes", False), ("r", "value", True), ("q", "value", False), ("q", "notes", True), ("s", "notes", False)], "record_id string, field_name string, grounded boolean")
     assert {(r.record_id, r.field_name) for r in replay.drop_ungrounded(facts, ["value"]).collect()} == {("r", "value"), ("q", "value"), ("q", "notes"), ("s", "notes")}
-    assert [r[0] for r in spark.createDataFrame([("(a[b])",), ("(a",)], "t string").select(replay.balanced(F.col("t"))).collect()] == [True, False]
+    assert [r[0] for r in spark.createDataFrame([("(a[b])",), ("(a",), ("$x$",), ("5 $ x",)], "t string").select(replay.balanced(F.col("t"))).collect()] == [True, False, True, False]
+    told = ["lacks the unit", "Qualifier is gone", "abbreviated form", "does not fully reflect it", "wrong site", "naming style", None, "black"]
+    assert [r[0] for r in spark.createDataFrame([(t,) for t in told], "t string").select(replay.is_naming_style(F.col("t"))).collect()] == [True] * 4 + [False] * 4
 
 
 def test_pooling(spark):
-    rows = spark.createDataFrame([("p", "Values are averaged across years and locations. Means of 3 plots."), ("q", "Pooled over replicates; nothing else.")], "paper_id string, text string")
-    got = {(r.paper_id, r.name): (r.dimension, r.status) for r in pooling.pooling_statements(rows, "text").collect()}
-    assert got[("p", "year")] == ("time", "accepted") and got[("p", "location")] == ("site", "accepted") and got[("q", "replicate")][1] == "replicate"
+    told = {
+        "a": ("Values are averaged across years and locations. Something else follows here.", {("year", "time", "accepted", None), ("location", "site", "accepted", None)}),
+        "b": ("Yield was pooled over sites.", {(None, None, "rejected", "no_reported_value")}),
+        "c": ("Means of treatments were separated by Tukey tests after ANOVA.", set()),
+        "d": ("Means were averaged over treatments and separated by Tukey.", {(None, None, "rejected", "statistical_procedure")}),
+        "e": ("Data were pooled over replicates.", {("replicate", "replicate", "rejected", "replicate")}),
+        "f": ("Data were combined over the two nitrogen treatments, since they did not differ.", {("nitrogen", "treatment", "accepted", None)}),
+        "g": ("Values were averaged across treatments.", {(None, None, "rejected", "generic")}),
+        "h": ("Results for all cultivars are given.", {(None, None, "rejected", "clause")}),
+        "i": ("Means across N_rate.", {(None, None, "rejected", "digits_or_markup")}),
+    }
+    rows = spark.createDataFrame([(k, t) for k, (t, _) in told.items()], "paper_id string, text string")
+    got = pooling.pooling_statements(rows, "text").collect()
+    assert {k: {(r.name, r.dimension, r.status, r.reason) for r in got if r.paper_id == k} for k in told} == {k: w for k, (_, w) in told.items()}
+    caption = pooling.pooling_statements(rows.filter("paper_id = 'b'"), "text", F.lit(True)).collect()
+    assert [(r.name, r.status) for r in caption] == [("site", "accepted")]
     blocks = [("Caption", "Table 1. x"), ("Table", "|a|"), ("Text", "note"), ("Footnote", "f1"), ("SectionHeader", "# R"), ("Footnote", "far"), ("Table", "|b|"), ("Caption", "Table 9. y")]
     df = spark.createDataFrame([("p", f"b:{i}", i, t, x) for i, (t, x) in enumerate(blocks)], "paper_id string, anchor string, ord int, block_type string, text string")
     assert {(r.table_anchor, r.anchor, r.role) for r in pooling.windows(df).collect()} == {("b:1", "b:0", "caption"), ("b:1", "b:2", "note"), ("b:1", "b:3", "note")}

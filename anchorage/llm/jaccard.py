@@ -46,7 +46,7 @@ from pyspark.sql import functions as F
 
 from .common import bitmap_of, in_bitmap, materialize, mix64, prepare, release
 
-WORDS, FREQUENT, FREQUENT_MOST, SKETCH, STARS = 5, 24, 1 << 17, 1024, 4
+WORDS, FREQUENT, FREQUENT_MOST, SKETCH, FOLD, STARS = 5, 24, 1 << 17, 1024, 8, 4
 _STEP = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -149,8 +149,8 @@ def _frequent(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
     return tokens[order], n[order].astype(np.int64)
 
 
-_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("rare", pa.int32()), ("bits", pa.int64()), ("sketch", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))])
-_SETS_DDL = "kind string, doc_id long, text_hash long, n int, node long, other long, rare int, bits long, sketch array<long>, keys array<long>, places array<int>, slacks array<int>"
+_SETS = pa.schema([("kind", pa.string()), ("doc_id", pa.int64()), ("text_hash", pa.int64()), ("n", pa.int32()), ("node", pa.int64()), ("other", pa.int64()), ("rare", pa.int32()), ("bits", pa.int64()), ("sketch", pa.list_(pa.int64())), ("fold", pa.list_(pa.int64())), ("keys", pa.list_(pa.int64())), ("places", pa.list_(pa.int32())), ("slacks", pa.list_(pa.int32()))])
+_SETS_DDL = "kind string, doc_id long, text_hash long, n int, node long, other long, rare int, bits long, sketch array<long>, fold array<long>, keys array<long>, places array<int>, slacks array<int>"
 
 
 def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, seed: int) -> DataFrame:
@@ -163,14 +163,15 @@ def _sets(rows: DataFrame, frequent: np.ndarray, counts: np.ndarray, seed: int)
             for doc_id, text_hash, text in zip(*(batch.column(i).to_pylist() for i in range(3))):
                 tokens = tokens_of(text)
                 if not len(tokens):
-                    out.append(("doc", doc_id, text_hash, 0, *[None] * 8))
+                    out.append(("doc", doc_id, text_hash, 0, *[None] * 9))
                     continue
                 node, other = _names(tokens, seed)
-                out.append(("doc", doc_id, text_hash, len(tokens), node, other, *[None] * 6))
+                out.append(("doc", doc_id, text_hash, len(tokens), node, other, *[None] * 7))
                 if node not in seen:
                     seen.add(node)
                     keys, places, slacks, rare, bits = index_keys(tokens, *box.value)
-                    out.append(("class", None, None, len(tokens), node, None, rare, bits, sketch_of(tokens), keys.view(np.int64), places, slacks))
+                    sketch = sketch_of(tokens)
+                    out.append(("class", None, None, len(tokens), node, None, rare, bits, sketch, np.bitwise_xor.reduce(sketch.reshape(-1, FOLD), axis=0), keys.view(np.int64), places, slacks))
             if out:
                 yield pa.RecordBatch.from_arrays([pa.array(v, f.type) for v, f in zip(zip(*out), _SETS)], schema=_SETS)
 
@@ -268,9 +269,10 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _postings(found: DataFrame) -> DataFrame:
-    """Of keys that several sets have: key, node, n, place, slack, odd, rare, bits, turn.
+    """Of keys that several sets have: key, paired, node, n, place, slack, odd, rare, bits, turn.
 
-    odd: the set's rare tokens in 1000; rare, bits: zero under a rare token; turn: the key's place among the set's by hash.
+    paired: the key is of two frequent tokens; rare, bits: zero where it is not; odd: the set's rare tokens in 1000;
+    turn: the key's place among the set's by hash.
     """
     entries = found.select("node", F.explode("keys").alias("key"))
     shared = entries.groupBy("key").agg(F.min("node").alias("x"), F.max("node").alias("y")).filter("x <> y").select("key")
@@ -291,10 +293,10 @@ def _postings(found: DataFrame) -> DataFrame:
             turn[order] = np.arange(len(key)) - starts[owner[order]]
             n, rare, bits = (c.to_numpy()[owner] for c in (n, rare, bits))
             paired = place >= rare  # rare tokens come first
-            out = [key, node.to_numpy()[owner], n, place, slack, (1000 * rare.astype(np.int64) // n).astype(np.int32), np.where(paired, rare, 0).astype(np.int32), np.where(paired, bits, 0), np.minimum(turn, 127).astype(np.int8)]
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "node", "n", "place", "slack", "odd", "rare", "bits", "turn"])
+            out = [key, paired, node.to_numpy()[owner], n, place, slack, (1000 * rare.astype(np.int64) // n).astype(np.int32), np.where(paired, rare, 0).astype(np.int32), np.where(paired, bits, 0), np.minimum(turn, 127).astype(np.int8)]
+            yield pa.RecordBatch.from_arrays([pa.array(c) for c in out], names=["key", "paired", "node", "n", "place", "slack", "odd", "rare", "bits", "turn"])
 
-    kept = found.select("node", "n", "rare", "bits", "keys", "places", "slacks").mapInArrow(run, "key long, node long, n int, place int, slack int, odd int, rare int, bits long, turn byte")
+    kept = found.select("node", "n", "rare", "bits", "keys", "places", "slacks").mapInArrow(run, "key long, paired boolean, node long, n int, place int, slack int, odd int, rare int, bits long, turn byte")
     postings = materialize(kept.join(shared, "key", "left_semi"), "postings")
     release(shared)
     return postings
@@ -323,18 +325,31 @@ def _star_pairs(postings: DataFrame) -> DataFrame:
     return pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
 
 
-def _all_pairs(postings: DataFrame, labels: DataFrame) -> DataFrame:
-    """All pairs of classes under one key whose components differ, from the side outside the key's largest one."""
+def _all_pairs(postings: DataFrame, labels: DataFrame, classes: DataFrame) -> DataFrame:
+    """All pairs of classes under one key whose components differ, from the side outside the key's largest one.
+
+    Keys of the same sets (long copies share thousands) are one, told by two hashes of their nodes: each set with its
+    least place and largest slack, so that no pair is lost; keys that are taken for one by chance only add pairs. They
+    carry the sets' sketches folded to 512 bits, whatever the set's size.
+    """
     postings = postings.join(labels, "node", "left").withColumn("component", F.coalesce("component", "node")).drop("turn", "odd")
     postings = materialize(postings, "open")
-    sizes = postings.groupBy("key", "component").agg(F.count("*").alias("size"))
-    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m"), F.count("*").alias("many")).filter("many > 1").select("key", F.col("m.component").alias("main"))
-    open_ = materialize(postings.join(main, "key"), "open")
+    held = postings.groupBy("key").agg(F.min("component").alias("least"), F.max("component").alias("most"), F.max("paired").alias("paired"), F.bit_xor(F.xxhash64("node")).alias("u"), F.bit_xor(F.xxhash64("node", F.lit(1))).alias("v"))
+    held = held.filter("least <> most").select("key", F.xxhash64("u", "v", "paired").alias("holders"))
+    merged = postings.join(held, "key").groupBy(F.col("holders").alias("key"), "node").agg(*(F.first(c).alias(c) for c in ("n", "component", "rare", "bits")), F.min("place").alias("place"), F.max("slack").alias("slack"))
+    merged = materialize(merged, "merged")
     release(postings)
-    left = _ended(open_.filter("component <> main"), "_x", "key", "component")
-    right = _ended(open_, "_y", "key", "component", "main")
+    sizes = merged.groupBy("key", "component").agg(F.count("*").alias("size"))
+    main = sizes.groupBy("key").agg(F.max(F.struct("size", "component")).alias("m")).select("key", F.col("m.component").alias("main"))
+    folds = classes.select("node", *(F.col("fold")[k].alias(f"fold{k}_") for k in range(FOLD)))
+    open_ = materialize(merged.join(main, "key").join(folds, "node"), "open")
+    release(merged)
+    words = [f"fold{k}_" for k in range(FOLD)]
+    left = _ended(open_.filter("component <> main"), "_x", "key", "component", *words)
+    right = _ended(open_, "_y", "key", "component", "main", *words)
+    apart = sum(F.bit_count(F.col(f"{w}_x").bitwiseXOR(F.col(f"{w}_y"))) for w in words)
     across = (F.col("component_x") != F.col("component_y")) & ((F.col("component_y") == F.col("main_y")) | (F.col("node_x") < F.col("node_y")))
-    pairs = left.join(right, (F.col("key_x") == F.col("key_y")) & across & _alike("_x", "_y"))
+    pairs = left.join(right, (F.col("key_x") == F.col("key_y")) & across & _alike("_x", "_y") & (9 * apart <= F.col("n_x") + F.col("n_y")))
     pairs = pairs.select(F.least("node_x", "node_y").alias("a"), F.greatest("node_x", "node_y").alias("b")).distinct()
     pairs = materialize(pairs, "pairs")
     release(open_)
@@ -357,12 +372,12 @@ def link(docs: DataFrame) -> DataFrame:
         seed += 1  # two sets share a node: name them anew
     found = sets.filter("kind = 'class'")
     postings = _postings(found)
-    classes = found.groupBy("node").agg(F.first("n").alias("n"), F.first("sketch").alias("sketch"))
+    classes = found.groupBy("node").agg(*(F.first(c).alias(c) for c in ("n", "sketch", "fold")))
     classes = materialize(classes.join(postings.select("node"), "node", "left_semi"), "classes")
 
     edges = _links(materialize(_star_pairs(postings), "pairs"), classes, rows, named, seed)
     labels = components(edges)
-    rest = _all_pairs(postings, labels)
+    rest = _all_pairs(postings, labels, classes)
     release(postings)
     more = _links(rest, classes, rows, named, seed)
     if not more.isEmpty():

@@ -157,7 +157,7 @@ def write_token_files(docs: DataFrame, tokenizer_path: str, path: str, end_id: i
     schema = pa.schema([("part", pa.int32()), ("part_start", pa.int64()), ("n_ids", pa.int64()), ("doc_ids", pa.list_(pa.int64())), ("doc_tokens", pa.list_(pa.int64())), ("payload", pa.binary())])
 
     def write(batches):
-        part, enc, tail = TaskContext.get().partitionId(), encoder(tokenizer_path), int(end_id).to_bytes(4, "little")
+        part, enc, tail = TaskContext.get().partitionId(), encoder(tokenizer_path, 400_000), int(end_id).to_bytes(4, "little")
         done, held, ids, counts = 0, [], [], []
 
         def flush():

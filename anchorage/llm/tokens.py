@@ -33,7 +33,7 @@ class WordEncoder(dict):
     hold a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 200_000):
+    def __init__(self, path: str, keep: int = 300_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -108,11 +108,11 @@ class _Chunks(dict):
         return out
 
 
-_ENCODERS: dict[str, WordEncoder] = {}
+_ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str) -> WordEncoder:
+def encoder(path: str, keep: int = 300_000) -> WordEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
-    if path not in _ENCODERS:
-        _ENCODERS[path] = WordEncoder(path)
-    return _ENCODERS[path]
+    if (path, keep) not in _ENCODERS:
+        _ENCODERS[path, keep] = WordEncoder(path, keep)
+    return _ENCODERS[path, keep]

@@ -33,7 +33,7 @@ class WordEncoder(dict):
     hold a special token's string are encoded whole.
     """
 
-    def __init__(self, path: str, keep: int = 300_000):
+    def __init__(self, path: str, keep: int = 200_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -111,7 +111,7 @@ class _Chunks(dict):
 _ENCODERS: dict[tuple[str, int], WordEncoder] = {}
 
 
-def encoder(path: str, keep: int = 300_000) -> WordEncoder:
+def encoder(path: str, keep: int = 200_000) -> WordEncoder:
     """The worker's encoder for a tokenizer file, kept between tasks."""
     if (path, keep) not in _ENCODERS:
         _ENCODERS[path, keep] = WordEncoder(path, keep)

@@ -184,7 +184,7 @@ def summaries(fields: DataFrame, shown: dict[str, list[str]], most: int = 80) ->
     line = F.array_join(F.transform(told, lambda x: x["v"]), " · ")
     out = rows.groupBy("paper_id", "entity_type", "record_id").agg(line.alias("_l"))
     cut = F.when(F.length("_l") > most, F.concat(F.rtrim(F.substring("_l", 1, most - 1)), F.lit("…"))).otherwise(F.col("_l"))
-    return out.select("paper_id", "entity_type", "record_id", F.when(F.col("_l") == "", F.col("record_id")).otherwise(cut).alias("summary"))
+    return out.select("paper_id", "entity_type", "record_id", F.when(F.col("_l") == "", F.col("record_id").cast("string")).otherwise(cut).alias("summary"))
 
 
 def matches_first(rows: DataFrame, text: str, order: str, query: str) -> DataFrame:

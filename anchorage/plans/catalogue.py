@@ -513,3 +513,6 @@ def polygon_norm(spark, sf_dir):
     """The coordinates of each vector over a page's width."""
     e = read(spark, sf_dir, "embeddings").select("vec_id", F.posexplode(documents.scaled(F.col("embedding"), 612)).alias("i", "x"))
     return e.select("vec_id", "i", F.round("x", 9).alias("x"))
+
+
+from . import graph  # noqa: E402, F401  (its queries register themselves)

@@ -515,4 +515,4 @@ def polygon_norm(spark, sf_dir):
     return e.select("vec_id", "i", F.round("x", 9).alias("x"))
 
 
-from . import graph  # noqa: E402, F401  (its queries register themselves)
+from . import evidence, graph  # noqa: E402, F401  (their queries register themselves)

@@ -3,7 +3,8 @@
 The lexicon holds the terms whose document frequency lies in a band of shares of all documents. A
 fingerprint sorts a text's distinct lexicon terms and hashes, for each of a number of randomised
 subsets of the lexicon, those that fall into the subset; subsets come in levels that keep one term
-in 4, 32, 256 and 2048, so that some level suits any length. A text without a lexicon term is
+in 4, 32, 256 and 2048, so that some level suits any length. A term's subsets are told by bits of its
+hash: four dealings of all terms into 4 parts, then 16 of 32, of 256 and of 2048 parts. A text without a lexicon term is
 fingerprinted by all its terms.
 
 Likeness: a subset's hashes agree unless a term in which the texts differ fell into it, so the share
@@ -34,6 +35,8 @@ from .common import materialize, parallelism, prepare
 
 LOW, HIGH, LEVELS, SUBSETS = 0.003, 0.15, (2, 5, 8, 11), 16
 BUCKET_BITS, SLOTS = 18, 1 << 16
+#: Bits of a term's hash below this one find its bucket and slot, those from it on its subsets; 16 subsets a level.
+FIRST_BIT = 18
 NULL_ID = -(1 << 63)
 
 
@@ -67,16 +70,46 @@ def _slots(lex: DataFrame) -> Column:
     return F.from_json(F.lit(json.dumps(held, separators=(",", ":"))), "array<array<bigint>>")
 
 
+def _subsets(level: int) -> list[dict]:
+    """A level's subsets as tests on the bits of a term's hash: mask and value.
+
+    Each level reads bits of its own. Where one in 2**bits is kept and there are at least as many subsets, the subsets
+    are that many ways to deal all terms into 2**bits parts; else the first SUBSETS of 2**bits parts.
+    """
+    bits = LEVELS[level]
+    shift, parts = FIRST_BIT + sum(_width(b) for b in LEVELS[:level]), 1 << bits
+    places = [(j % parts, shift + bits * (j // parts)) for j in range(SUBSETS)]
+    return [{"mask": (parts - 1) << low, "value": value << low} for value, low in places]
+
+
+def _some(level: int, own: Column) -> Column:
+    """The terms that any subset of a level has: those whose part is one of the first SUBSETS."""
+    shift = FIRST_BIT + sum(_width(b) for b in LEVELS[:level])
+    rest = ((1 << LEVELS[level]) - 1) & ~(SUBSETS - 1)
+    return F.filter(own, lambda t: t.bitwiseAND(F.lit(rest << shift)) == 0) if rest else own
+
+
+def _width(bits: int) -> int:
+    """How many bits of a hash a level reads."""
+    return bits * max(1, SUBSETS >> bits)
+
+
+def _hash_of(kept: Column) -> Column:
+    """A 16-bit hash of sorted terms, 0 for none."""
+    return F.transform(F.array(kept), lambda k: F.when(F.size(k) == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(k), F.lit(65535)).cast("int") + 1))[0]
+
+
 def fingerprints(text: Column, slots: Column) -> Column:
     """struct(n: lexicon terms, hashes: one 16-bit hash for each subset, 0 for an empty one, rest: of a text without)."""
-    subsets = [{"j": j, "mask": (1 << bits) - 1} for level, bits in enumerate(LEVELS) for j in range(level * SUBSETS, (level + 1) * SUBSETS)]
-    known = F.from_json(F.lit(json.dumps(subsets)), "array<struct<j:int,mask:bigint>>")
     every = terms(text)
 
     def within(found: Column) -> Column:
-        kept = lambda s: F.filter(found["own"], lambda t: F.xxhash64(t, s["j"]).bitwiseAND(s["mask"]) == 0)
-        hashed = F.transform(known, lambda s: F.transform(F.array(kept(s)), lambda k: F.when(F.size(k) == 0, F.lit(0)).otherwise(F.pmod(F.xxhash64(k), F.lit(65535)).cast("int") + 1))[0])
-        return F.struct(F.size(found["own"]).alias("n"), F.when(F.size(found["own"]) > 0, hashed).alias("hashes"), F.when(F.size(found["own"]) == 0, F.xxhash64(F.sort_array(found["all"]))).alias("rest"))
+        own = found["own"]
+        # a level's terms are picked once, so that a sparse level's subsets are sought among few
+        known = [F.from_json(F.lit(json.dumps(_subsets(level))), "array<struct<mask:bigint,value:bigint>>") for level in range(len(LEVELS))]
+        of_level = lambda level: F.transform(F.array(_some(level, own)), lambda p: F.transform(known[level], lambda s: _hash_of(F.filter(p, lambda t: t.bitwiseAND(s["mask"]) == s["value"]))))[0]
+        hashed = F.concat(*map(of_level, range(len(LEVELS))))
+        return F.struct(F.size(own).alias("n"), F.when(F.size(own) > 0, hashed).alias("hashes"), F.when(F.size(own) == 0, F.xxhash64(F.sort_array(found["all"]))).alias("rest"))
 
     looked = F.transform(
         F.array(every),

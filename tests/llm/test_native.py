@@ -3,7 +3,9 @@
 import hashlib
 import random
 import re
+import struct
 
+import xxhash
 from pyspark.sql import functions as F
 
 from anchorage.llm import imatch, licenses
@@ -109,3 +111,37 @@ def test_lexicon_band(spark):
 def test_edited_is_nearer_than_next(spark):
     got = imatch.op7_imatch(spark, "/root/testdata/sf0.01").collect()
     assert sum(r.near_edited > r.near_next for r in got) > 0.95 * len(got)
+
+
+def _signed(h):
+    return h - (1 << 64) if h >= 1 << 63 else h
+
+
+def _chained(values):
+    h = 42
+    for v in values:
+        h = xxhash.xxh64(struct.pack("<q", v), seed=h).intdigest()
+    return _signed(h)
+
+
+def test_fingerprints_by_definition(spark):
+    rng = random.Random(11)
+    vocabulary = [f"w{i}" for i in range(400)]
+    texts = [" ".join(rng.sample(vocabulary, rng.randint(1, 120))) for _ in range(60)] + ["", "zz yy", "W1 w1 w2", None]
+    lex = {_signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in vocabulary[:300]}
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    slots = imatch._slots(spark.createDataFrame([(t,) for t in lex], "term long"))
+    got = {r.doc_id: r.f for r in rows.select("doc_id", imatch.fingerprints(F.coalesce("text", F.lit("")), slots).alias("f")).collect()}
+    for i, text in enumerate(texts):
+        all_ = {_signed(xxhash.xxh64(w.encode(), seed=42).intdigest()) for w in WORD.findall(_low(text))}
+        own, want, low = sorted(all_ & lex), [], imatch.FIRST_BIT
+        for bits in imatch.LEVELS:
+            dealings = max(1, imatch.SUBSETS >> bits)
+            for j in range(imatch.SUBSETS):
+                at = low + bits * (j >> bits)
+                kept = [t for t in own if (t >> at) % (1 << bits) == j % (1 << bits)]
+                want.append(_chained(kept) % 65535 + 1 if kept else 0)
+            low += bits * dealings
+        assert got[i].n == len(own)
+        assert got[i].hashes == (want if own else None)
+        assert got[i].rest == (None if own else _chained(sorted(all_)))

@@ -202,6 +202,11 @@ def fold(candidates: DataFrame, caps: DataFrame) -> DataFrame:
     return rows.select("task_id", F.posexplode(taken).alias("place", "_x")).select("task_id", "place", "_x.*")
 
 
+def _once(rows: DataFrame) -> DataFrame:
+    """Rows that are read many times, written to the checkpoint folder where the session has one."""
+    return rows.checkpoint() if rows.sparkSession.sparkContext.getCheckpointDir() else rows
+
+
 def build(spark: SparkSession, tasks: DataFrame, blocks: DataFrame, seeds: DataFrame, members: DataFrame, refs: DataFrame, aliases: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The packets' items and the audit of their concepts, for every task whose type has a strategy.
 
@@ -214,7 +219,7 @@ def build(spark: SparkSession, tasks: DataFrame, blocks: DataFrame, seeds: DataF
     concept, cpos, status, level, anchors).
     """
     rules = strategies(spark)
-    tb = task_blocks(tasks, blocks, aliases, rules)
+    tb = _once(task_blocks(tasks, blocks, aliases, rules))
     per_task = tb.select("task_id", "cap").distinct()
     none = F.lit(None).cast("string")
     solid = F.col("block_type") != "Table"
@@ -272,7 +277,7 @@ def build(spark: SparkSession, tasks: DataFrame, blocks: DataFrame, seeds: DataF
     wide = wide.withColumn("_nth", F.row_number().over(Window.partitionBy("task_id", "cpos").orderBy("ord", "anchor"))).filter("_nth <= 2")
     level5 = _items(wide, F.lit(5), [F.col("cpos"), F.col("ord")], 5, "supporting", F.concat(F.lit("concept:"), "h.name"), F.array(F.lit("whole-document search")), F.struct(F.col("h.name").alias("name"), F.col("cpos").alias("pos")))
 
-    taken = fold(first.unionByName(level3).unionByName(level4).unionByName(level5), per_task)
+    taken = _once(fold(first.unionByName(level3).unionByName(level4).unionByName(level5), per_task))
     of_caption = member.filter("role = 'caption'").groupBy("paper_id", "anchor").agg(F.max_by(F.coalesce("label", F.concat(F.lit("table "), "anchor")), "table_ord").alias("_caption"))
     items = taken.join(tasks.select("task_id", "paper_id"), "task_id").join(of_caption, ["paper_id", "anchor"], "left")
     is_caption = (F.col("kind") == "supporting") & F.col("_caption").isNotNull()

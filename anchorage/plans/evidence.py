@@ -37,9 +37,10 @@ def concept_tiers(spark, sf_dir):
     literal = lambda p: F.struct(F.lit(p["phrase"]).alias("phrase"), F.lit(p["norm"]).alias("norm"), F.array(*map(F.lit, p["words"])).cast("array<string>").alias("words"))
     concepts = {r["concept"]: F.array(*map(literal, r["phrases"])) for r in rules.collect()}  # a constant of a dozen rows
     text = F.col("text")
-    d = read(spark, sf_dir, "documents").select("doc_id", T.canon(text).alias("_n"), F.array_distinct(T.significant_words(text)).alias("_w")).filter("_n is not null")
-    tiers = lambda phrases: F.array_compact(F.transform(phrases, lambda p: packets.phrase_tier(p, F.col("_n"), F.col("_w"))))
-    hits = d.select("doc_id", F.explode(F.array(*[F.struct(F.lit(n).alias("concept"), tiers(ps).alias("tiers")) for n, ps in concepts.items()])).alias("h"))
+    bound = F.array(F.struct(T.canon(text).alias("norm"), F.array_distinct(T.significant_words(text)).alias("words")))  # once, whatever the phrases
+    tiers = lambda phrases, b: F.array_compact(F.transform(phrases, lambda p: packets.phrase_tier(p, b["norm"], b["words"])))
+    every = F.transform(bound, lambda b: F.array(*[F.struct(F.lit(n).alias("concept"), tiers(ps, b).alias("tiers")) for n, ps in concepts.items()]))
+    hits = read(spark, sf_dir, "documents").filter("text is not null").select("doc_id", F.explode(every[0]).alias("h"))
     return hits.filter("size(h.tiers) > 0").select("doc_id", "h.concept", F.array_min("h.tiers").cast("int").alias("tier"), F.size("h.tiers").cast("long").alias("phrases"))
 
 

@@ -89,3 +89,9 @@ def test_polygon_norm_of_all_coordinates(run):
     got = run("polygon_norm", embeddings=("vec_id long, embedding array<float>", list(vectors.items())))
     assert {(r.vec_id, r.i): r.x for r in got} == {(k, i): round(x / 612, 9) for k, v in vectors.items() for i, x in enumerate(v)}
     assert len(got) == 71
+
+
+def test_typed_signals_know_letters_beyond_ascii(run):
+    got = {r.doc_id: r for r in run("typed_signals", documents=("doc_id long, text string", [(1, "a señr se"), (2, "a señr"), (3, "maïs sown in May 2003"), (4, ""), (5, None)]))}
+    assert [got[i].statistic for i in (1, 2, 4, 5)] == [True, False, False, None]
+    assert got[3].management_verb and got[3].date and not got[3].doi
